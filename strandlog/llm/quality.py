@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 #: Most trusted documents that the target is estimated from.
 TRUSTED = 20_000
 #: Least mean log ratio of a document that is kept.
-THRESHOLD = -0.35
+THRESHOLD = -0.12
 #: Added to every bucket's count.
 SMOOTHING = 1.0
 
