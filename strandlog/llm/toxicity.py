@@ -25,10 +25,12 @@ from .common import slices, texts
 
 BUCKETS = 1 << 18
 SIZE = 8
-WINDOW = 12
+WINDOW = 8
+#: A shorter window, at a text's end, counts as this many words at least.
+LEAST = 4
 #: Most training rows of each label.
 PER_LABEL = 1200
-EPOCHS = 4
+EPOCHS = 6
 #: Words kept with their weights, in each Python worker.
 CACHE = 300_000
 
@@ -98,7 +100,8 @@ class Trainer:
         base = np.cumsum([0, *map(len, docs)])
         start = np.concatenate([b + windows(len(d)) for b, d in zip(base[:-1], docs, strict=True)])
         owner = np.concatenate([np.full(len(windows(len(d))), k) for k, d in enumerate(docs)])
-        width = np.diff([*start, base[-1]])
+        length = np.diff([*start, base[-1]])
+        width = np.maximum(length, LEAST)
         window = np.add.reduceat(word[token], start, axis=0) / width[:, None]
         logits = window @ self.out + self.bias
         gap = logits[:, 1] - logits[:, 0]
@@ -111,7 +114,7 @@ class Trainer:
         both = np.stack([-slope, slope], 1)
         d_out, d_bias = window.T @ both, both.sum(0)
         d_window = (both @ self.out.T) / width[:, None]
-        spread = np.repeat(d_window, width, axis=0)
+        spread = np.repeat(d_window, length, axis=0)
         d_word = np.stack([np.bincount(token, spread[:, k], len(grams)) for k in range(SIZE)], 1) / size[:, None]
         d_vec = np.stack([np.bincount(at, d_word[of, k], len(used)) for k in range(SIZE)], 1).astype(np.float32)
         self.seen[used] += d_vec**2
@@ -126,7 +129,7 @@ class Trainer:
         return self.vectors @ (self.out[:, 1] - self.out[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 48, rate: float = 0.05, sharp: float = 3.0) -> tuple[np.ndarray, float] | None:
+def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 48, rate: float = 0.1, sharp: float = 6.0) -> tuple[np.ndarray, float] | None:
     """rows: (text, label 0 or 1), in a fixed order. None if a label has no row with a word."""
     docs = [(w, y) for text, y in rows if (w := words_of(text))]
     if len({y for _, y in docs}) < 2:
@@ -168,7 +171,7 @@ class Scorer:
         if not len(found):
             return found
         at = windows(len(found))
-        return np.add.reduceat(found, at) / np.diff([*at, len(found)]) + self.bias
+        return np.add.reduceat(found, at) / np.maximum(np.diff([*at, len(found)]), LEAST) + self.bias
 
 
 def _apply(model):
