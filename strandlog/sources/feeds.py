@@ -36,7 +36,7 @@ def private_host(uri: str) -> bool:
     if not found:
         return False
     number = re.match(r"\s*([+-]?\d+)", found[1])
-    return not number or 16 <= int(number[1]) <= 31
+    return not number or not -(1 << 31) <= int(number[1]) < 1 << 31 or 16 <= int(number[1]) <= 31
 
 
 def routable(address: str) -> bool:
