@@ -22,11 +22,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that earlier documents have; documents of which no word is left go."""
-    columns = docs.columns
-    found = chunk_dedup.dedup(docs).filter((F.size("spans") == 0) | F.col("text").rlike("[^ \t-\r]"))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+    return chunk_dedup.cleaned(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import Packer, batch, bucket_of, unpack
-from .common import GEAR, SPACE, RollingHash, slices, tasks, text_buffer
+from .common import GEAR, REST, SPACE, RollingHash, packed, slices, tasks, text_buffer, unpacked, wider
 
 REACH = 24
 LEAST = 150
@@ -193,11 +193,30 @@ def _apply(least: int, names: list[str]):
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The columns of docs with removed runs cut out of text, and n_bytes, n_chunks, n_later (chunks that came earlier), spans
-    array<struct<start, end>> (removed bytes of the text as it was)."""
+    array<struct<start, end>> (removed bytes of the text as it was), which take the place of columns of these names."""
+    own = [c for c in docs.columns if c not in RESULTS]
+    return unpacked(located(docs, least), own, *RESULTS)
+
+
+RESULTS = ("n_bytes", "n_chunks", "n_later", "spans")
+
+
+def located(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """packed(docs) with removed runs cut out of text, and RESULTS."""
     buckets = tasks(docs.sparkSession)
-    names = docs.columns
+    names = ["doc_id", "text", REST]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map(buckets), _ROWS_SQL).repartition(buckets, "bucket")
     found = dealt.mapInArrow(_reduce(buckets), _ROWS_SQL).groupBy("doc_id").agg(F.collect_list("blob").alias("found")).withColumnRenamed("doc_id", "found_id")
-    joined = docs.join(found, docs.doc_id == found.found_id, "left").drop("found_id")
-    base = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(_apply(least, names), base + ", n_bytes long, n_chunks long, n_later long, spans array<struct<start: int, end: int>>")
+    base = packed(docs)
+    joined = base.join(found, base.doc_id == found.found_id, "left").drop("found_id")
+    return joined.mapInArrow(_apply(least, names), wider(base, tuple(names), "n_bytes long, n_chunks long, n_later long, spans array<struct<start: int, end: int>>"))
+
+
+def cleaned(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The columns of docs with removed runs cut out of text (and n_chars, if there is one, after that); texts that lose their last word go."""
+    found = located(docs, least).filter((F.size("spans") == 0) | F.col("text").rlike("[^ \t-\r]"))
+    cut = F.size("spans") > 0
+    out = unpacked(found.withColumn("_cut", cut), docs.columns, *["_cut"] * ("n_chars" in docs.columns))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 
@@ -45,6 +46,26 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more)
 
 
+REST = "_rest"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, so that none of their names can clash with an operator's."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[docs[c] for c in others]) if others else F.lit(0)
+    return docs.select("doc_id", "text", rest.alias(REST))
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns that packed() put away, in their order, and `more` of df's own."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(REST).getField(c).alias(c) for c in columns], *more)
+
+
+def wider(df: DataFrame, columns: tuple[str, ...], ddl: str) -> StructType:
+    """A schema of columns of df and further ones."""
+    return StructType([df.schema[c] for c in columns] + StructType.fromDDL(ddl).fields)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows one after the other and n + 1 offsets, without a copy; null is empty."""
     if column.null_count:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import REST, packed, slices, unpacked, wider
 
 BLOCK_BYTES = 1 << 20
 
@@ -155,10 +155,10 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 13, keep: tuple[str, ...] =
     spark = docs.sparkSession
     blocks = list(_blocks(items))
     df = docs.select(*keep).withColumns({"runs": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    base = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", runs array<int>, items array<string>"
+    base = "runs array<int>, items array<string>"
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
-        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(block), n, uuid.uuid4().hex, last), base + ", n_words long, n_hit long, spans array<struct<start: int, end: int>>" * last)
+        df = df.mapInArrow(_pass(spark.sparkContext.broadcast(block), n, uuid.uuid4().hex, last), wider(docs, keep, base + ", n_words long, n_hit long, spans array<struct<start: int, end: int>>" * last))
     return df
 
 
@@ -172,5 +172,4 @@ def contaminated(share: int = SHARE):
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     """The rows of docs that are not contaminated, with the columns they had."""
-    columns = docs.columns
-    return scan(docs, items, n, tuple(columns)).filter(~contaminated()).select(*columns)
+    return unpacked(scan(packed(docs), items, n, ("doc_id", "text", REST)).filter(~contaminated()), docs.columns)

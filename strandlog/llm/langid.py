@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import COUNTS, collect_counts, count_batch, count_rows, slices
+from .common import COUNTS, REST, collect_counts, count_batch, count_rows, packed, slices, unpacked, wider
 
 BUCKETS = 1 << 16
 #: Languages beyond this many are an error: the model goes to every task.
@@ -113,13 +113,11 @@ def _predict(model):
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The columns `keep` of docs (text among them), and languages array<string>, proportions array<double>, lang_pred, score."""
-    base = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    df = docs.select(*keep).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), base + ", languages array<string>, proportions array<double>")
+    df = docs.select(*keep).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), wider(docs, keep, "languages array<string>, proportions array<double>"))
     # The greatest proportion is the score; texts without one are undetermined.
     return df.withColumn("lang_pred", F.coalesce(F.try_element_at("languages", F.lit(1)), F.lit("und"))).withColumn("score", F.least(F.lit(1.0), F.coalesce(F.try_element_at("proportions", F.lit(1)), F.lit(0.0))))
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs with a language, with the columns they had."""
-    columns = docs.columns
-    return predict(docs, model, tuple(columns)).filter("lang_pred <> 'und'").select(*columns)
+    return unpacked(predict(packed(docs), model, ("doc_id", "text", REST)).filter("lang_pred <> 'und'"), docs.columns)
