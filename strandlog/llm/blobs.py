@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+#: Buckets for each task that reads them: many small ones are dealt evenly by hash.
+BUCKETS = 8
+
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the upper bits of 64-bit hashes; any number of buckets."""

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import Packer, batch, bucket_of, unpack
+from .blobs import BUCKETS, Packer, batch, bucket_of, unpack
 from .common import GEAR, REST, SPACE, RollingHash, packed, slices, tasks, text_buffer, unpacked, wider
 
 REACH = 24
-LEAST = 150
+LEAST = 100
 
 _GEAR16 = (GEAR >> np.uint64(48)).astype(np.uint16)
 _CHUNK = np.dtype([("digest", "<u8"), ("more", "<u4"), ("doc", "<i8"), ("start", "<u4")])
@@ -203,9 +203,10 @@ RESULTS = ("n_bytes", "n_chunks", "n_later", "spans")
 
 def located(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """packed(docs) with removed runs cut out of text, and RESULTS."""
-    buckets = tasks(docs.sparkSession)
+    n = tasks(docs.sparkSession)
+    buckets = n * BUCKETS
     names = ["doc_id", "text", REST]
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map(buckets), _ROWS_SQL).repartition(buckets, "bucket")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map(buckets), _ROWS_SQL).repartition(n, "bucket")
     found = dealt.mapInArrow(_reduce(buckets), _ROWS_SQL).groupBy("doc_id").agg(F.collect_list("blob").alias("found")).withColumnRenamed("doc_id", "found_id")
     base = packed(docs)
     joined = base.join(found, base.doc_id == found.found_id, "left").drop("found_id")
