@@ -100,7 +100,8 @@ NOTICES = {
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the texts and notices above."""
-    return spark.createDataFrame([*TEXTS.items(), *NOTICES.items()], "license_id string, text string")
+    rows = [F.struct(F.lit(i).alias("license_id"), F.lit(text).alias("text")) for i, text in [*TEXTS.items(), *NOTICES.items()]]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, notices: dict[str, str] | None = None) -> DataFrame:
