@@ -15,7 +15,7 @@ HEADER_SIZE, ENVELOPE_SIZE, TRAILER_SIZE = 64, 96, 40
 OVERHEAD = ENVELOPE_SIZE + TRAILER_SIZE
 FORMAT_VERSION, PROFILE_VERSION = 0, 1
 
-# Record types.
+# Record types by number.
 RECORD_TYPES = {
     1: "feed_descriptor",
     2: "source_bytes",
@@ -85,6 +85,7 @@ def record_types(spark: SparkSession) -> DataFrame:
 
 def capabilities() -> dict[str, object]:
     """What this engine does; nothing is claimed that it does not."""
+    # The names of the fields.
     return {
         "version": "0.1.0",
         "coda_archive": True,

@@ -172,7 +172,7 @@ def test_writer_rules(tmp_path):
 
 
 def test_bad_headers(spark, tmp_path):
-    for name, data in (("short", b"CODA"), ("magic", bytes(64)), ("crc", archive.encode_header(0, bytes(16))[:-1] + b"\0")):
+    for name, data in (("short", b"short"), ("magic", bytes(64)), ("crc", archive.encode_header(0, bytes(16))[:-1] + b"\0")):
         (tmp_path / name).write_bytes(data)
     rows = archive.verify(spark, [str(tmp_path / n) for n in ("short", "magic", "crc", "none")]).collect()
     assert [r["error_code"] for r in rows] == ["archive_corrupt"] * 3 + ["archive_io"] and not any(r["ok"] for r in rows)
