@@ -3,7 +3,8 @@
 Method. Anchors: of the LENGTH - GRAM + 1 grams of GRAM bytes in a window of LENGTH bytes, the one with the least hash is
 the window's anchor, so equal windows have equal anchors. The neighbouring windows of one anchor are a run. Runs whose
 gram is nowhere else in the table hold no repeated window. Of runs with the very same bytes (128-bit digests) all but the
-first are covered. What is left, different runs around one gram, is compared byte by byte: a suffix array over their texts is
+first are covered. What is left are different runs around one gram. They are narrowed to windows that share a hash with another one, and these
+are compared byte by byte: a suffix array over their texts is
 built by two-stage sorting (only suffixes smaller than their successors are sorted, the rest are induced by a scan over
 buckets), and neighbours in it with a common prefix of LENGTH bytes are equal windows.
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import Packer, batch, bucket_of, unpack
+from .blobs import BUCKETS, Packer, batch, bucket_of, unpack
 from .chunk_dedup import _least
-from .common import GEAR, RollingHash, materialize, slices, tasks, text_buffer
+from .common import GEAR, RollingHash, materialize, mix, slices, tasks, text_buffer
 
 U64 = np.uint64
 LENGTH = 100
@@ -233,7 +234,8 @@ def _map(buckets: int):
         r, later = _earliest(np.concatenate(held))
         yield _by_document(r["doc"][later], _places(r[later], COVERED), buckets)
         packer = Packer(_RUN, buckets)
-        packer.add(r[~later], bucket_of(r["gram"][~later], buckets))
+        # Anchors are least hashes, so their upper bits are small: they are mixed before they choose a bucket.
+        packer.add(r[~later], bucket_of(mix(r["gram"][~later]), buckets))
         yield batch(_ROWS, [(b, None, blob) for b, blob in packer.take()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +316,7 @@ def _compared(buckets: int):
             begin = at[row] + r["start"]
             inside = np.minimum(begin[:, None] + np.arange(WIDEST), max(len(flat) - 1, 0))
             t["text"] = np.where(np.arange(WIDEST) < r["size"][:, None], flat[inside] if len(flat) else 0, 0)
-            packer.add(t, bucket_of(r["gram"], buckets))
+            packer.add(t, bucket_of(mix(r["gram"]), buckets))
             if packer.full():
                 yield batch(_ROWS, [(b, None, blob) for b, blob in packer.take()])
         yield batch(_ROWS, [(b, None, blob) for b, blob in packer.take()])
@@ -323,7 +325,43 @@ def _compared(buckets: int):
 
 
 #: Runs in one suffix array; grams are never split over two.
-ARRAY = 16_384
+ARRAY = 8_192
+#: Runs whose windows are hashed at a time.
+HASHED = 4_096
+
+
+def _narrowed(t: np.ndarray) -> np.ndarray:
+    """Runs cut to what lies between their first and last window whose hash another window has too; runs without one go."""
+    hashes, rows, offsets = [], [], []
+    for k in range(0, len(t), HASHED):
+        part = t[k : k + HASHED]
+        row, offset = np.nonzero(np.arange(REACH) + LENGTH <= part["size"][:, None])
+        where = row * WIDEST + offset
+        hashes.append(RollingHash(np.ascontiguousarray(part["text"]).reshape(-1)).of(where, where + LENGTH))
+        rows.append((row + k).astype(np.int32))
+        offsets.append(offset.astype(np.int32))
+    if not hashes:
+        return t
+    h, row, offset = np.concatenate(hashes), np.concatenate(rows), np.concatenate(offsets)
+    del hashes, rows, offsets
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    row, offset = row[twice], offset[twice]
+    kept, first = np.unique(row, return_index=True)
+    if not len(kept):
+        return t[:0]
+    low, high = offset[first], offset[np.append(first[1:], len(row)) - 1]
+    out = t[kept]
+    out["start"] += low.astype(np.uint32)
+    out["size"] = high - low + LENGTH
+    for k in range(0, len(out), HASHED):
+        own = slice(k, k + HASHED)
+        at = np.minimum(low[own, None] + np.arange(WIDEST), WIDEST - 1)
+        out["text"][own] = np.take_along_axis(out["text"][own], at, axis=1)
+    return out
 
 
 def _arrays(buckets: int):
@@ -332,8 +370,9 @@ def _arrays(buckets: int):
         yield from _gather(batches, held)
         for b in list(held):
             t = unpack(held.pop(b), _TEXT)
+            t = _narrowed(t)
             t = t[np.argsort(t["gram"], kind="stable")]
-            edge = np.append(np.flatnonzero(np.diff(t["gram"], prepend=~t["gram"][:1]) != 0), len(t))
+            edge = np.append(np.flatnonzero(np.diff(t["gram"], prepend=~t["gram"][:1]) != 0), len(t)) if len(t) else np.zeros(1, np.int64)
             a = 0
             while a < len(t):
                 e = int(edge[max(np.searchsorted(edge, a + ARRAY, "right") - 1, np.searchsorted(edge, a, "right"))])
@@ -390,16 +429,17 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes long, spans array<struct<start, end>> (removed bytes, maximal runs), kept binary (the rest) for every document."""
-    buckets = tasks(docs.sparkSession)
+    spark_tasks = tasks(docs.sparkSession)
+    buckets = spark_tasks * BUCKETS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def gathered(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("doc_id").agg(F.collect_list("blob").alias(name))
 
-    found = docs.mapInArrow(_map(buckets), _ROWS_SQL).repartition(buckets, "bucket").mapInArrow(_reduce(buckets), _ROWS_SQL)
+    found = docs.mapInArrow(_map(buckets), _ROWS_SQL).repartition(spark_tasks, "bucket").mapInArrow(_reduce(buckets), _ROWS_SQL)
     found = materialize(gathered(found, "found"))
     located = docs.join(found, "doc_id", "left")
-    dealt = located.filter("found is not null").mapInArrow(_compared(buckets), _ROWS_SQL).repartition(buckets, "bucket")
+    dealt = located.filter("found is not null").mapInArrow(_compared(buckets), _ROWS_SQL).repartition(spark_tasks, "bucket")
     places = gathered(dealt.mapInArrow(_arrays(buckets), _ROWS_SQL), "places")
     return located.join(places, "doc_id", "left").mapInArrow(_apply, "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
 
