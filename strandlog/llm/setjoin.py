@@ -10,8 +10,10 @@ that, and sets with more empty segments than spares are also partitioned by the
 of which empty segments count too. Candidates are verified on the sets themselves.
 
 Equal sets are one entity. In each group of a signature, all are first compared with the group's least entity. What those
-links connect needs no further comparison for components; every other pair of a group's members from different components is
-then compared, so that no link between components is missed.
+links connect needs no further comparison for components. For every other pair of a group's members from different
+components, parity sketches are compared first: a sketch has one bit for each value of a token hash, flipped by every token,
+so two sketches differ in no more bits than their sets differ in tokens. A pair that differs in more bits than linked sets
+may is never linked; only the rest become rows and are verified, so that no link between components is missed.
 
 Defined results: null text, and text without a word, has no shingle and is linked with nothing; a text of fewer words than
 n is one shingle; repeated rows are linked (with equal sets) and repeat in the result; other columns are ignored.
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import Packer, batch, bucket_of, unpack
+from .blobs import BUCKETS, Packer, batch, bucket_of, unpack
 from .common import GEAR_FOLDED, RollingHash, grams, materialize, mix, slices, tasks, text_buffer, texts, words
 from .components import components
 
 U64 = np.uint64
 SEEDS = 4
-#: Members of a group in one row; larger groups are several rows.
+#: Members of a group in one row, and in one comparison of sketches; larger groups are several.
 CHUNK = 4096
 #: Members that one task compares with one entity.
 MEMBERS = 256
@@ -92,6 +94,19 @@ class Plan:
         cost = equal * (1 + 200 * np.exp(-0.9 * size / equal))
         return ("delete", delete, 0) if size + delete < cost else ("equal", equal, spare)
 
+    def differ(self, size: int) -> int:
+        """In how many tokens two linked sets may differ, of so many tokens together."""
+        return size * (self.den - self.num) // (self.den + self.num)
+
+    def sketches(self, owner: np.ndarray, token: np.ndarray, rows: int) -> list[bytes]:
+        """A parity sketch for each row, four times as many bits as linked sets of its band may differ in tokens, a power of two."""
+        band = self.band(np.bincount(owner, minlength=rows))
+        width = np.array([max(256, 1 << (4 * self.differ(2 * self.upper[b])).bit_length()) for b in range(int(band.max(initial=0)) + 1)])[band]
+        base = np.concatenate([[0], np.cumsum(width)])
+        bit = base[owner] + (mix(token + U64(0xB17)) & (width[owner] - 1).astype(U64)).astype(np.int64)
+        packed = np.packbits(np.bincount(bit, minlength=base[-1]).astype(np.uint8) & 1).tobytes()
+        return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
     def signatures(self, owner: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """Signatures and their rows, each distinct in its row."""
         size = np.bincount(owner, minlength=rows)
@@ -184,8 +199,8 @@ def _digests(owner: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarra
     return out[0], out[1]
 
 
-_MAPPED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("entity", pa.int64()), ("other", pa.int64()), ("blob", pa.binary())])
-_MAPPED_SQL = "bucket int, doc_id long, n long, entity long, other long, blob binary"
+_MAPPED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("entity", pa.int64()), ("other", pa.int64()), ("blob", pa.binary()), ("sketch", pa.binary())])
+_MAPPED_SQL = "bucket int, doc_id long, n long, entity long, other long, blob binary, sketch binary"
 
 
 def _map(n: int, num: int, den: int, buckets: int):
@@ -197,7 +212,8 @@ def _map(n: int, num: int, den: int, buckets: int):
             entity, other = _digests(owner, token, rows)
             size = np.bincount(owner, minlength=rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket_of(entity, buckets).astype(np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(entity.view(np.int64)), pa.array(other.view(np.int64)), pa.nulls(rows, pa.binary())], schema=_MAPPED
+                [pa.array(bucket_of(entity, buckets).astype(np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(entity.view(np.int64)), pa.array(other.view(np.int64)), pa.nulls(rows, pa.binary()), pa.array(plan.sketches(owner, token, rows), pa.binary())],
+                schema=_MAPPED,
             )
             # Equal sets of this batch send their signatures once.
             once = np.zeros(rows, bool)
@@ -208,8 +224,8 @@ def _map(n: int, num: int, den: int, buckets: int):
             records["sig"], records["entity"] = sig, entity[of]
             packer.add(records, bucket_of(sig, buckets))
             if packer.full():
-                yield batch(_MAPPED, [(b, None, None, None, None, blob) for b, blob in packer.take()])
-        yield batch(_MAPPED, [(b, None, None, None, None, blob) for b, blob in packer.take()])
+                yield batch(_MAPPED, [(b, None, None, None, None, blob, None) for b, blob in packer.take()])
+        yield batch(_MAPPED, [(b, None, None, None, None, blob, None) for b, blob in packer.take()])
 
     return run
 
@@ -247,7 +263,7 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             known.add(content)
             for k in range(0, size, CHUNK):
-                rows.append((b, None, size, name, k // CHUNK, entity[at + k : at + min(k + CHUNK, size)].tobytes()))
+                rows.append((b, None, size, name, k // CHUNK, entity[at + k : at + min(k + CHUNK, size)].tobytes(), None))
             if len(rows) >= 4096:
                 yield batch(_MAPPED, rows)
                 rows = []
@@ -262,6 +278,56 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), pa.array(member)], ["group", "entity"])
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length, the least one: halves laid over each other."""
+    least = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in sketches])
+
+
+def _near(num: int, den: int):
+    """Rows sorted by comparison (least, p, q): pairs of a family's members from different components whose sketches allow a link."""
+
+    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        least, p, q, entity, component, size, sketch, chunk, leaders = zip(*rows, strict=True)
+        leaders = [set(x) for x in leaders]
+        entity, component, size, chunk = (np.array(x) for x in (entity, component, size, chunk))
+        bits, both, found = _folded(list(sketch)), p[0] != q[0], []
+        for k in range(0, len(rows), 64):
+            own = slice(k, k + 64)
+            ok = (entity[own, None] < entity) & (component[own, None] != component)
+            if both:
+                ok &= chunk[own, None] != chunk
+            ok &= num * np.maximum(size[own, None], size) <= den * np.minimum(size[own, None], size)
+            a, b = np.nonzero(ok)
+            for m in range(0, len(a), 1 << 16):
+                x, y = a[m : m + (1 << 16)] + k, b[m : m + (1 << 16)]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(apart * (den + num) <= (den - num) * (size[x] + size[y]))
+                # A pair that several families hold is given by the one with the least leader.
+                near = np.array([i for i in near.tolist() if min(leaders[x[i]] & leaders[y[i]]) == least[0]], np.int64)
+                found.append((entity[x[near]], entity[y[near]]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = pairs(held)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for part in batches:
+            for row in zip(*(part.column(c).to_pylist() for c in ("least", "p", "q", "entity", "component", "n", "sketch", "chunk", "leaders")), strict=True):
+                if row[:3] != key and held:
+                    yield done()
+                    held = []
+                key = row[:3]
+                held.append(row)
+        if held:
+            yield done()
+
+    return run
+
+
 def _compare(n: int, num: int, den: int):
     """Rows sorted so that each leader's text comes before its members'."""
 
@@ -307,27 +373,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id long, n_shingles long, component_id long (the least doc_id that links reach) for every document."""
     spark = docs.sparkSession
-    buckets = tasks(spark)
+    dealt_to = tasks(spark)
+    buckets = dealt_to * BUCKETS
     docs = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    dealt = docs.mapInArrow(_map(n, num, den, buckets), _MAPPED_SQL).repartition(buckets, "bucket")
+    dealt = docs.mapInArrow(_map(n, num, den, buckets), _MAPPED_SQL).repartition(dealt_to, "bucket")
     held = materialize(dealt.mapInArrow(_reduce, _MAPPED_SQL))
-    own = held.filter("blob is null").select("doc_id", "n", "entity", "other")
+    own = held.filter("blob is null").select("doc_id", "n", "entity", "other", "sketch")
     # Copies are counted before they are dealt out, so a group of any size is a row for each task.
-    classes = materialize(own.filter("n > 0").groupBy("entity", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    classes = materialize(own.filter("n > 0").groupBy("entity", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     groups = held.filter("blob is not null")
     member = materialize(groups.mapInArrow(_members, "group long, entity long").distinct())
     least = member.groupBy("group").agg(F.min("entity").alias("least"))
     stars = member.join(least, "group").filter("entity <> least").select(F.col("least").alias("a"), F.col("entity").alias("b")).distinct()
     links = _verified(stars, classes, docs, n, num, den)
     reached = components(links)
-    # Groups with members of several components: every pair across them.
-    at = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("entity", F.coalesce("component", "rep").alias("component"))
-    placed = member.join(at, "entity")
+    # Groups with members of several components: pairs across them that their sketches allow.
+    at = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("entity", "n", "sketch", F.coalesce("component", "rep").alias("component"))
+    placed = member.join(at.select("entity", "component"), "entity")
     mixed = placed.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("entity").alias("least")).filter("lo <> hi").select("group", "least")
-    rest = materialize(placed.join(mixed, "group").filter("entity <> least").select("group", "entity", "component"))
-    left = rest.select("group", F.col("entity").alias("a"), F.col("component").alias("ca"))
-    right = rest.select("group", F.col("entity").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "group").filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    # Groups with one leader are one family: a pair that meets in many segments is looked at once for each leader, not for each segment.
+    family = materialize(member.join(mixed, "group").filter("entity <> least").select("least", "entity").distinct())
+    leaders = family.groupBy("entity").agg(F.collect_list("least").alias("leaders"))  # no more than a set has signatures
+    parts = family.groupBy("least").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    rest = family.join(parts, "least").join(at, "entity").join(leaders, "entity").withColumn("chunk", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rest = rest.withColumn("other", other).select("least", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "entity", "component", "n", "sketch", "chunk", "leaders")
+    dealt = rest.repartition(dealt_to, "least", "p", "q").sortWithinPartitions("least", "p", "q")
+    across = materialize(dealt.mapInArrow(_near(num, den), "a long, b long").distinct()).join(stars, ["a", "b"], "left_anti")
     more = _verified(across, classes, docs, n, num, den)
     reached = components(links.unionAll(more))
     place = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("entity", "other", F.coalesce("component", "rep").alias("component"))
