@@ -1,0 +1,54 @@
+"""The corpus queries: columns of their contracts, SQL where there is some, accuracy on held-out rows."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from strandlog.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+COLUMNS = {
+    "op1_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op2_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op3_decontamination": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
+    "op4_chunk_dedup": {"doc_id": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op5_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op6_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op7_licenses": {"doc_id": "bigint", "digest": "string", "license_id": "string", "notices": "string"},
+    "op8_quality": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op9_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op10_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_contract(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    assert COLUMNS[name].items() <= dict(df.dtypes).items()
+    got = df.toPandas()
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    if name in queries.ORACLE_SQL:
+        c = duckdb.connect()
+        for f in glob.glob(f"{SF}/*.parquet"):
+            c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+        other = c.execute(queries.ORACLE_SQL[name]).df()
+        rows = lambda x: sorted(map(str, x[sorted(got.columns)].astype(object).where(x[sorted(got.columns)].notna(), None).itertuples(index=False, name=None)))
+        assert sorted(other.columns) == sorted(got.columns) and rows(got) == rows(other)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    lang = queries.op6_language_id(spark, sf).toPandas().merge(docs, on="doc_id")
+    held = lang[lang.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.97
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    tox = queries.op2_toxicity(spark, sf).toPandas().merge(labels, on="doc_id")
+    tox = tox[tox.held_out]
+    good, bad = tox[tox.toxic == 0].score, tox[tox.toxic == 1].score
+    assert len(bad) and sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) > 0.8
+    quality = queries.op8_quality(spark, sf).toPandas().merge(labels, on="doc_id")
+    assert quality[quality.quality == 1].kept.mean() > 0.95 and quality[quality.quality == 0].kept.mean() < 0.1
