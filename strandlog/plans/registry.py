@@ -519,12 +519,16 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 @query()
 def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive of all conversations followed as a stream of verified records."""
+    """All conversations, written as archives that are not finalized and followed to their ends as one stream of verified records."""
     from ..sources import archive
     from ..streaming.archives import follow
 
-    rows = _conversation_records(spark, sf_dir).filter("archive_id = '3'")
-    path = archive.write_archives(rows, shared_folder(spark), finalize=False).first()["path"]
+    written = archive.write_archives(_conversation_records(spark, sf_dir), shared_folder(spark), finalize=False).collect()
+    paths = [r["path"] for r in written]  # sixteen archives
+    schema = "archive_id string, position long, sequence long, record_type int, stream_id string, payload_size long, file_offset long, hash string"
+    if not paths:
+        return spark.createDataFrame([], schema)
     out, state = shared_folder(spark), shared_folder(spark)
-    follow(spark, path, 1 << 16).drop("payload").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("position", "sequence", "record_type", "stream_id", "payload_size", "file_offset", "hash")
+    follow(spark, paths).drop("payload").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(out).withColumn("archive_id", F.regexp_extract("archive_id", r"([^/]*)\.arc$", 1))
+    return found.select(*[c.split()[0] for c in schema.split(", ")])

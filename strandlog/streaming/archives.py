@@ -1,51 +1,68 @@
-"""Streams over archives: following the tail of one that still grows, and chaining records as they arrive."""
+"""Streams over archives: following the tails of those that still grow, and chaining records as they arrive."""
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import model
-from ..sources.archive import SCHEMA, hop, open_archive, read_range
+from ..sources.archive import SCHEMA, SPLIT_BYTES, _Range, hop, open_archive, read_range
 
 
-class _Tail(SimpleDataSourceStreamReader):
-    """Offsets are verified lengths: an incomplete record at the end is left for the next batch, other damage ends the stream there."""
+START = {"offset": model.HEADER_SIZE, "position": 0, "hash": "0" * 64}
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+
+def _verified(path: str, start: dict) -> dict:
+    """Where the verified records after `start` end; payloads are hashed as they stream, one in memory at a time."""
+    at = start
+    for part in hop(path, offset=start["offset"], position=start["position"]):
+        for row in read_range(part):
+            if row[15] or row[14] != row[12] or row[11] != at["hash"] or row[2] != at["position"]:
+                return at
+            at = {"offset": row[10] + model.OVERHEAD + row[9], "position": row[1] + 1, "hash": row[14]}
+    return at
+
+
+class _Tail(DataSourceStreamReader):
+    """Offsets are the verified length of each archive: an incomplete record at its end is left for the next batch, other damage ends its stream there.
+
+    A batch goes to the end that is verified when it starts, in ranges of about `most` bytes, one task each.
+    """
+
+    def __init__(self, paths: list[str], most: int):
+        self.paths, self.most = paths, most
+        self.seen = dict.fromkeys(paths, START)
 
     def initialOffset(self) -> dict:
-        return {"offset": model.HEADER_SIZE, "position": 0, "hash": "0" * 64}
+        return dict.fromkeys(self.paths, START)
 
-    def _rows(self, start: dict, end: int | None) -> tuple[list[tuple], dict]:
-        rows, at = [], dict(start)
-        for part in hop(self.path, self.most, start["offset"], start["position"]):
-            for row in read_range(part):
-                if row[15] or row[14] != row[12] or row[11] != at["hash"] or row[2] != at["position"] or end is not None and row[10] >= end:
-                    return rows, at
-                rows.append(row)
-                at = {"offset": row[10] + model.OVERHEAD + row[9], "position": row[1] + 1, "hash": row[14]}
-            if end is None:
-                break  # one range a batch
-        return rows, at
+    def latestOffset(self) -> dict:
+        self.seen = {p: _verified(p, at) for p, at in self.seen.items()}
+        return self.seen
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, at = self._rows(start, None)
-        return iter(rows), at
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        parts = []
+        for path, to in end.items():
+            at = start.get(path, START)
+            for part in hop(path, self.most, at["offset"], at["position"]):
+                if part.offset >= to["offset"]:
+                    break
+                parts.append(replace(part, end=min(part.end, to["offset"])))
+        return parts
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows(start, end["offset"])[0])
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        return read_range(partition)
 
 
 class TailSource(DataSource):
-    """spark.readStream.format("recordlogtail").option("path", ...): verified records of one archive as they are committed."""
+    """spark.readStream.format("recordlogtail").option("path", ...): verified records of archives as they are committed. Paths are separated by newlines."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,13 +71,15 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> _Tail:
-        return _Tail(open_archive(self.options["path"]), int(self.options.get("maxbytes", 64 << 20)))
+    def streamReader(self, schema) -> _Tail:
+        return _Tail([open_archive(p) for p in self.options["path"].split("\n")], int(self.options.get("maxbytes", SPLIT_BYTES)))
 
 
-def follow(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
+def follow(spark: SparkSession, paths: str | Iterable[str], most: int = SPLIT_BYTES) -> DataFrame:
+    """A stream of the verified records of one archive or of several. most: bytes of records that one task of a batch reads."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("recordlogtail").option("path", os.path.abspath(path)).option("maxbytes", str(most)).load()
+    paths = [paths] if isinstance(paths, str) else paths
+    return spark.readStream.format("recordlogtail").option("path", "\n".join(map(os.path.abspath, paths))).option("maxbytes", str(most)).load()
 
 
 class _Chain(StatefulProcessor):

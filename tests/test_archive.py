@@ -176,3 +176,35 @@ def test_bad_headers(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     rows = archive.verify(spark, [str(tmp_path / n) for n in ("short", "magic", "crc", "none")]).collect()
     assert [r["error_code"] for r in rows] == ["archive_corrupt"] * 3 + ["archive_io"] and not any(r["ok"] for r in rows)
+
+
+def test_followed_rows_equal_a_scan_over_ranges_growth_and_damage(spark, tmp_path):
+    from strandlog.streaming.archives import follow
+
+    paths = [str(tmp_path / n) for n in ("a.arc", "b.arc")]
+    writers = [archive.ArchiveWriter(p, 0, bytes(16)) for p in paths]
+    columns = ["archive_id", "position", "sequence", "payload", "file_offset", "hash"]
+
+    def caught_up():
+        q = follow(spark, paths, 1000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()))
+
+    def scanned():
+        return sorted(map(tuple, archive.records(spark, paths, "verified_prefix").select(*columns).collect()))
+
+    for w in writers:
+        for i in range(40):
+            w.append(model.SOURCE_BYTES, stream(1), i, i, b"%d" % i * 20)
+    assert len(list(archive.hop(paths[0], 1000))) > 5
+    first = caught_up()
+    assert len(first) == 80 and first == scanned()
+    for w in writers:
+        for i in range(30):
+            w.append(model.SOURCE_BYTES, stream(2), i, i, b"later %d" % i)
+        w.close()
+    with open(paths[1], "r+b") as f:
+        f.seek(writers[1].records[55].offset + model.ENVELOPE_SIZE)
+        f.write(b"X")
+    second = caught_up()
+    assert len(second) == 70 + 55 and second == scanned()

@@ -52,3 +52,13 @@ def test_crc32c_column(spark):
     values = [b"", b"123456789", b"a" * 100, None, b"\0"]
     df = spark.createDataFrame([(i, bytearray(v) if v is not None else None) for i, v in enumerate(values)], "i int, p binary")
     assert [r["crc32c"] for r in crc32c_column(df, "p").orderBy("i").collect()] == [None if v is None else crc32c(v) for v in values]
+
+
+def test_tail_stream_follows_every_archive_to_its_end(spark):
+    source = spark.read.parquet(f"{SF}/conversations.parquet")
+    got = registry.tail_stream(spark, SF)
+    columns = ["position", "payload_size", "hash"]
+    assert got.count() == source.count()
+    heads = {r["archive_id"]: r["n"] for r in got.groupBy("archive_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert heads == {str(r["a"]): r["n"] for r in source.selectExpr("conv_id % 16 a").groupBy("a").count().withColumnRenamed("count", "n").collect()}
+    assert got.select("archive_id", *columns).distinct().count() == got.count()
