@@ -189,6 +189,15 @@ def write_wav(audio: Audio) -> bytes:
 OBSERVATIONS = "audio_id string, band string, code int, confidence double, start_frame long, end_frame long, corrected_preamble_bits int, ordinal int, error_code string"
 
 
+#: Clips that an operator puts into one batch.
+FEW = 64
+
+
+def few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most FEW, so that memory holds few clips at a time."""
+    return (batch.slice(k, FEW) for k in range(0, batch.num_rows, FEW))
+
+
 def _clips(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     return zip(batch.column("audio_id").to_pylist(), batch.column("wav").to_pylist(), strict=True)
 
@@ -197,7 +206,7 @@ def detect_all(clips: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """clips: (audio_id, wav binary). Observations of every clip; a clip that cannot be read is one row with its error_code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in few(whole)):
             rows = []
             for name, wav in _clips(batch):
                 try:
@@ -216,7 +225,7 @@ def embed_all(clips: DataFrame, band: str = "W1", policy: Policy = Policy()) ->
     """clips: (audio_id, wav binary, code int). audio_id, wav, frames_embedded, error_code; a failed clip keeps its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in few(whole)):
             rows = []
             for (name, wav), code in zip(_clips(batch), batch.column("code").to_pylist(), strict=True):
                 try:

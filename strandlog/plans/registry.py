@@ -450,21 +450,21 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def watermark_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks embedded in clips of noise made from embeddings, and detected again."""
+    """Marks embedded in clips of one tone each, a clip for every row of embeddings by its id, and detected again."""
     import numpy as np
     import pyarrow as pa
 
     def clips(batches):
-        for batch in batches:
+        for ids in (part.column("vec_id").to_pylist() for batch in batches for part in watermark.few(batch)):
             names, wavs, codes = [], [], []
-            for i in batch.column("vec_id").to_pylist():
+            for i in ids:
                 samples = np.trunc(1200 * np.sin(2 * np.pi * (300 + i % 200) * np.arange(48000) / 48000)).astype(np.int16)
                 names.append(str(i))
                 wavs.append(watermark.write_wav(watermark.Audio(48000, 1, samples)))
                 codes.append(i * 40503 % 65536)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(wavs, pa.binary()), pa.array(codes, pa.int32())], ["audio_id", "wav", "code"])
 
-    made = table(spark, sf_dir, "embeddings").select("vec_id").filter("label = 0").repartition(8).mapInArrow(clips, "audio_id string, wav binary, code int")
+    made = table(spark, sf_dir, "embeddings").select("vec_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(clips, "audio_id string, wav binary, code int")
     policy = watermark.Policy(amplitude_dbfs=-32.0)
     return watermark.detect_all(watermark.embed_all(made, "W1", policy), policy)
 

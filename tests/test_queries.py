@@ -62,3 +62,8 @@ def test_tail_stream_follows_every_archive_to_its_end(spark):
     heads = {r["archive_id"]: r["n"] for r in got.groupBy("archive_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     assert heads == {str(r["a"]): r["n"] for r in source.selectExpr("conv_id % 16 a").groupBy("a").count().withColumnRenamed("count", "n").collect()}
     assert got.select("archive_id", *columns).distinct().count() == got.count()
+
+
+def test_watermark_roundtrip_makes_a_clip_of_every_row(spark):
+    ids = {str(r["vec_id"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["audio_id"] for r in registry.watermark_roundtrip(spark, SF).select("audio_id").collect()} == ids
