@@ -54,3 +54,21 @@ def test_propagation_gathers_groups(spark):
     assert len(home) == 40 and all(r["n"] == 6 for r in home)
     load = Counter(r["home"] for r in home)
     assert max(load.values()) * 6 <= 240 / 5 * 1.5 + 6
+
+
+def test_whole_groups_fit_quotas_and_only_oversized_ones_are_cut(table):
+    rows = [(k, f"group {k // 7}") for k in range(700)] + [(1000 + k, "huge") for k in range(300)] + [(2000 + k, f"single {k}") for k in range(203)]
+    got = sharding.shard(table(rows), 8).collect()
+    check(got, len(rows), 8)
+    text, where = dict(rows), defaultdict(set)
+    for r in got:
+        where[text[r["doc_id"]]].add(r["shard"])
+    assert [t for t, shards in where.items() if len(shards) > 1] == ["huge"] and len(where["huge"]) == 2
+
+
+def test_rounds_and_quotas_change_homes(spark):
+    # Thirty groups of four have most members in shard 2; a quota of 60 rows takes fifteen of them, the rest ask for shard 3.
+    rows = spark.createDataFrame([(bytearray([g]), (2, 2, 2, 3)[k]) for g in range(30) for k in range(4)], "group binary, label int")
+    got = [Counter(r["home"] for r in sharding.homes(rows, 240, 4, rounds=n).collect()) for n in (0, 1, 2)]
+    assert got == [{0: 15, 1: 15}, {2: 15, 0: 15}, {2: 15, 3: 15}]
+    assert Counter(r["home"] for r in sharding.homes(rows, 240, 4, rounds=1, slack=1.0).collect()) == {2: 30}
