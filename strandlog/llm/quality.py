@@ -2,8 +2,8 @@
 
 Method: words and pairs of consecutive words are hashed into BUCKETS. One multinomial is estimated from trusted target
 documents, one from the whole raw corpus; a document's score is the mean log ratio of its n-grams under the two, and every
-document meets one fixed threshold. Raw counts cover all documents. The target is estimated from at most TRUSTED labelled
-documents, those with the smallest hashes of their ids; only their ids are broadcast.
+document meets one fixed threshold. Raw counts cover all documents, target counts all trusted ones, which a shuffle join on
+doc_id finds.
 
 Defined results: null and empty text have zero counts and score 0; repeated rows give repeated rows; without trusted
 documents or without any document all scores are 0.
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import COUNTS, GEAR_FOLDED, SPACE, RollingHash, collect_counts, count_batch, count_rows, grams, mix, slices, text_buffer, texts, words
 
 BUCKETS = 1 << 16
-#: Most trusted documents that the target is estimated from.
-TRUSTED = 20_000
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.12
 #: Added to every bucket's count.
@@ -51,23 +49,22 @@ def _hashed(batch: pa.RecordBatch):
     return flat, at, start, end, row, RollingHash(flat, GEAR_FOLDED).of(start, end)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches):
-        *_, row, h = _hashed(batch)
-        bucket, of = _features(h, row)
-        raw += np.bincount(bucket, minlength=BUCKETS)
-        trusted = np.asarray(batch.column("trusted").to_pylist(), bool)
-        if trusted.any():
-            target += np.bincount(bucket[trusted[of]], minlength=BUCKETS)
-    yield count_batch(count_rows("raw", raw) + count_rows("target", target))
+def _count(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches):
+            *_, row, h = _hashed(batch)
+            sums += np.bincount(_features(h, row)[0], minlength=BUCKETS)
+        yield count_batch(count_rows(name, sums))
+
+    return run
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED, smoothing: float = SMOOTHING) -> np.ndarray:
+def ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
     """The log ratio of each bucket: all of docs is the raw corpus, those whose doc_id is in `trusted` are the target."""
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True))
-    marked = texts(docs).join(F.broadcast(ids), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counts = collect_counts(marked.mapInArrow(_count, COUNTS), BUCKETS)
+    target = texts(docs).join(trusted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    both = [df.select("text").mapInArrow(_count(name), COUNTS) for name, df in (("raw", docs), ("target", target))]
+    counts = collect_counts(both[0].unionAll(both[1]), BUCKETS)
     if "target" not in counts:
         return np.zeros(BUCKETS)
     p, q = (np.log((c + smoothing) / (c.sum() + smoothing * BUCKETS)) for c in (counts["target"], counts["raw"]))
@@ -127,7 +124,7 @@ def _apply(ratio):
 def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept for every document.
 
-    trusted: the doc_ids of trusted documents. Two reads of the texts, no shuffle of them.
+    trusted: the doc_ids of trusted documents. Three reads of the texts, one shuffle of them.
     """
     table = docs.sparkSession.sparkContext.broadcast(ratios(docs, trusted))
     kind = docs.schema["doc_id"].dataType.simpleString()

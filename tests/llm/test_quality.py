@@ -45,3 +45,8 @@ def test_junk_scores_lower(spark, table):
     found = quality.score(table(rows), spark.createDataFrame([(k,) for k in range(1, 200, 2)], "doc_id long")).collect()
     good, bad = ([r["llr"] for r in found if r["doc_id"] % 2 == side] for side in (1, 0))
     assert min(good) > max(bad)
+
+
+def test_target_counts_every_trusted_document(spark):
+    docs = spark.range(20_500).selectExpr("id as doc_id", "concat('w', id, ' and') as text")
+    assert not quality.ratios(docs, docs.select("doc_id")).any()
