@@ -2,7 +2,8 @@
 
 Method: a word's vector is the mean of the vectors of its character n-grams and of itself, hashed into BUCKETS, so that
 unseen misspellings share vectors with known words. The vectors of WINDOW consecutive words are averaged and go through a
-linear softmax; a text is as toxic as its most toxic window, and every word of it lies in one. Vectors and softmax are
+linear softmax; a text is as toxic as its most toxic window, and every word of it lies in one. A run of over LONGEST letters
+(text without blanks) is cut into overlapping pieces, each a word of the windows. Vectors and softmax are
 trained jointly in numpy, on the driver, from at most PER_LABEL rows of each label (those with the smallest hashes of their
 ids), weighted towards the strongest windows as training goes on.
 
@@ -31,6 +32,9 @@ LEAST = 4
 #: Most training rows of each label.
 PER_LABEL = 1200
 EPOCHS = 6
+#: Letters of a word; a longer run is several words, each with the last OVERLAP letters of the one before.
+LONGEST = 200
+OVERLAP = 5
 #: Words kept with their weights, in each Python worker.
 CACHE = 300_000
 
@@ -39,7 +43,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def buckets(word: str) -> list[int]:
     """The word itself and its n-grams of three to six characters, ends marked."""
-    marked = f"<{word[:200]}>" if len(word) > 200 else f"<{word}>"
+    marked = f"<{word}>"
     raw, n = zlib.crc32, len(marked)
     found = [raw(marked.encode())]
     for size in (3, 4, 5, 6):
@@ -48,7 +52,11 @@ def buckets(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters and digits; longer ones than LONGEST in pieces that overlap, so that every n-gram of them is in one."""
+    found = _WORD.findall((text or "").lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[k : k + LONGEST] for w in found for k in range(0, max(len(w) - OVERLAP, 1), LONGEST - OVERLAP)]
 
 
 def windows(n: int) -> np.ndarray:

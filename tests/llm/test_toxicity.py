@@ -33,3 +33,17 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert all(0 <= s <= 1 for s in scores) and scores[0] == scores[1] == 0
     assert toxicity.score(empty, w).count() == 0
     assert toxicity.fit(odd, spark.createDataFrame([(5, 1)], "doc_id long, label int")) is None
+
+
+def test_long_runs_are_trained_and_scored_whole(spark, table):
+    for n in (1, 199, 200, 201, 205, 206, 395, 396, 1000):
+        run = "".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        words = toxicity.words_of(f"one {run} two")
+        assert words[0] == "one" and words[-1] == "two" and (words[1:-1] == [run]) == (n <= 200)
+        grams = {run[k : k + size] for size in (3, 4, 5, 6) for k in range(n - size + 1)}
+        assert all(any(g in w for w in words) for g in grams) and max(map(len, words)) <= 200
+        assert {toxicity.zlib.crc32(g.encode()) & (toxicity.BUCKETS - 1) for g in grams} <= {b for w in words for b in toxicity.buckets(w)}
+    model = toxicity.train([(doc(RNG.sample(BAD, 2) if k % 2 else []), k % 2) for k in range(120)])
+    clean = "".join(PLAIN * 6)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table([(1, clean), (2, clean + "".join(BAD * 8))]), model).collect()}
+    assert got[2] > got[1]
