@@ -128,10 +128,9 @@ def _notices(text: Column, lines: dict[str, str]) -> Column:
         return F.array().cast("array<string>")
     keys = [canonical(F.lit(line)) for line in lines.values()]
     table = F.map_from_arrays(F.array(*keys), F.array(*map(F.lit, lines)))
-    # Only lines as long as notices are brought to canonical form.
-    longest = 2 * max(map(len, lines.values()))
-    short = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: (F.length(x) <= longest) & F.lower(x).rlike("licen[cs]e|cc by"))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(short, lambda x: F.try_element_at(table, canonical(x))), lambda x: x.isNotNull())))
+    # Every line is brought to canonical form: neither its length nor a word in it tells beforehand that it matches none.
+    found = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.try_element_at(table, canonical(x)))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
 
 
 def _sql_canonical(text: str) -> str:

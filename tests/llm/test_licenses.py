@@ -28,3 +28,11 @@ def test_own_table(spark, table):
     known = spark.createDataFrame([("own", "My Licence"), ("none", None), ("blank", "...")], "license_id string, text string")
     got = licenses.scan(table([(1, "MY  license!"), (2, "")]), known, {}).orderBy("doc_id").collect()
     assert [r["license_id"] for r in got] == ["own", None]
+
+
+def test_padded_lines_and_own_notices_are_found(table):
+    padded = "/* " + "*" * 300 + " Released under the MIT License. " + "." * 300 + " */"
+    got = licenses.scan(table([(1, f"first\n{padded}\nlast")])).collect()
+    assert [list(r["notices"]) for r in got] == [["MIT"]]
+    own = licenses.scan(table([(1, "a\n-- Free for all uses! --"), (2, "free for all")]), None, {"own": "Free for all uses."}).orderBy("doc_id").collect()
+    assert [list(r["notices"]) for r in own] == [["own"], []]
