@@ -8,7 +8,8 @@ The benchmark is read in blocks of at most BLOCK_BYTES of text, each broadcast o
 in one chain, so that no broadcast grows with the benchmark.
 
 Defined results: null text has no words; an item without words has no window; an item of fewer than n words is one window;
-items with equal text all count; several items of one id count once; repeated documents give repeated rows.
+items with equal text all count; several items of one id count once, those without an id as one item whose entry in `items`
+is null, last, and whose windows hit words like others; repeated documents give repeated rows.
 """
 
 from __future__ import annotations
@@ -47,9 +48,9 @@ class _Symbols(dict):
 class Scanner:
     """The automaton of one block of (item_id, text)."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
         self.symbol = _Symbols()
-        owners: dict[str, set[str]] = defaultdict(set)
+        owners: dict[str, set[str | None]] = defaultdict(set)
         for item, text in items:
             own = "".join([self._new(w) for w in words_of(text)])
             for k in range(max(len(own) - n, 0) + 1):
@@ -67,10 +68,10 @@ class Scanner:
             self.symbol[word] = chr(k if k < 0xD800 else k + 0x800)
         return self.symbol[word]
 
-    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str | None]]:
         """Runs [first, end) of hit words, in order and apart, and the ids of items with a window there."""
         runs: list[list[int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         if self.any:
             for at, (size, who) in self.automaton.iter("".join(map(self.symbol.__getitem__, words))):
                 start = at + 1 - size
@@ -122,7 +123,7 @@ def _pass(items, n: int, key: str, last: bool):
                 runs, who = scanner.scan(words)
                 if old:
                     runs = _merged([*map(list, zip(old[::2], old[1::2], strict=True)), *runs])
-                out.append((len(words), runs, sorted({*found, *who})))
+                out.append((len(words), runs, sorted({*found, *who}, key=lambda x: (x is None, x or ""))))
             more = [pa.array([[x for r in runs for x in r] for _, runs, _ in out], pa.list_(pa.int32())), pa.array([w for *_, w in out], pa.list_(pa.string()))]
             if last:
                 more += [
@@ -136,9 +137,9 @@ def _pass(items, n: int, key: str, last: bool):
     return run
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
+def _blocks(items: DataFrame) -> list[list[tuple[str | None, str | None]]]:
     """The benchmark, a block of bounded size at a time."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).first()["b"] or 0
     n = -(-int(size) // BLOCK_BYTES) or 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))

@@ -73,3 +73,15 @@ def test_clean_keeps_columns_and_clean_rows(spark, table, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
     assert decontam.clean(empty, items).count() == 0
     assert decontam.clean(docs, items.limit(0)).count() == 5
+
+
+def test_items_without_an_id_still_hit(spark, table):
+    from pyspark.sql import functions as F
+
+    long, other = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    items = spark.createDataFrame([(None, long), (7, other), (None, other)], "item_id long, text string")
+    docs = table([(1, long), (2, other), (3, "nothing of either")])
+    rows = decontam.scan(docs, items).select("doc_id", "n_hit", "items", F.size("items").alias("n"), F.array_join("items", ",").alias("ids")).orderBy("doc_id").collect()
+    # As in the SQL: items without an id count once, and their ids are not in the text of the list.
+    assert [(r["n_hit"], r["n"], r["ids"]) for r in rows] == [(20, 1, ""), (20, 2, "7"), (0, 0, "")]
+    assert [r["doc_id"] for r in decontam.clean(docs, items).collect()] == [3]
