@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blobs import BUCKETS, Packer, batch, bucket_of, unpack
@@ -338,14 +338,14 @@ def _compare(n: int, num: int, den: int):
             d1, d2 = _digests(owner, token, part.num_rows)
             at = np.searchsorted(owner, np.arange(part.num_rows + 1))
             out = []
-            columns = [part.column(c).to_pylist() for c in ("lead", "salt", "member", "entity", "other")]
-            for k, (lead, salt, member, entity, other) in enumerate(zip(*columns, strict=True)):
+            columns = [part.column(c).to_pylist() for c in ("lead", "chief", "salt", "member", "entity", "other")]
+            for k, (lead, chief, salt, member, entity, other) in enumerate(zip(*columns, strict=True)):
                 if np.int64(d1[k].view(np.int64)) != entity or np.int64(d2[k].view(np.int64)) != other:
                     continue  # another document of the same id
                 own = token[at[k] : at[k + 1]]
                 if member is None:
-                    key, leader = (lead, salt), own
-                elif key == (lead, salt) and member != lead:
+                    key, leader = (lead, chief, salt), own
+                elif key == (lead, chief, salt) and member != lead:
                     both = len(np.intersect1d(leader, own, assume_unique=True))
                     if den * both >= num * (len(leader) + len(own) - both):
                         out.append((lead, member))
@@ -359,14 +359,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
     side = lambda c: classes.select(F.col("entity").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("entity", "other", "rep", "n")))
     found = pairs.join(side("a"), "a").join(side("b"), "b").filter((num * F.greatest("a_n", "b_n") <= den * F.least("a_n", "b_n")) & (F.col("a_rep") != F.col("b_rep")))
     found = materialize(found.drop("a", "b").distinct())
-    parts = found.groupBy("a_rep").agg(F.first("a_entity").alias("entity"), F.first("a_other").alias("other"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    members = found.join(parts.select("a_rep", "salts"), "a_rep").select(
-        F.col("a_rep").alias("lead"), F.pmod(F.xxhash64("b_rep"), F.col("salts")).cast("int").alias("salt"), F.col("b_rep").alias("member"), F.col("b_entity").alias("entity"), F.col("b_other").alias("other"), F.col("b_rep").alias("doc_id")
+    # One id may stand for several sets, so a leader is an id and a set.
+    parts = found.groupBy("a_rep", "a_entity").agg(F.first("a_other").alias("other"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
+    members = found.join(parts.select("a_rep", "a_entity", "salts"), ["a_rep", "a_entity"]).select(
+        F.col("a_rep").alias("lead"), F.col("a_entity").alias("chief"), F.pmod(F.xxhash64("b_rep"), F.col("salts")).cast("int").alias("salt"), F.col("b_rep").alias("member"), F.col("b_entity").alias("entity"), F.col("b_other").alias("other"), F.col("b_rep").alias("doc_id")
     )
-    leads = parts.select(F.col("a_rep").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "entity", "other", F.col("a_rep").alias("doc_id"))
+    leads = parts.select(F.col("a_rep").alias("lead"), F.col("a_entity").alias("chief"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), F.col("a_entity").alias("entity"), "other", F.col("a_rep").alias("doc_id"))
     # One shuffle of the texts serves both sides.
     rows = members.unionAll(leads).join(texts(docs), "doc_id").drop("doc_id")
-    dealt = rows.repartition(tasks(docs.sparkSession), "lead", "salt").sortWithinPartitions("lead", "salt", F.col("member").asc_nulls_first())
+    dealt = rows.repartition(tasks(docs.sparkSession), "lead", "chief", "salt").sortWithinPartitions("lead", "chief", "salt", F.col("member").asc_nulls_first())
     return materialize(dealt.mapInArrow(_compare(n, num, den), "a long, b long"))
 
 
@@ -407,7 +408,31 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs whose id is the least of their component, one of each id, with the columns they had."""
-    keep = join(docs, n, num, den).filter("doc_id = component_id").select("doc_id").distinct()
+    """One row of each component, with the columns it had: the one with the least doc_id, and of several texts of that id the one with the least digest.
+
+    Rows of one id are told apart by their texts: equal texts of an id are one row, the least in a fixed order of whole rows.
+    """
+    columns = docs.columns
     # Rows without an id cannot be told apart: they stay.
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionAll(docs.filter("doc_id is null"))
+    known, bare = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    again = materialize(known.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id"))
+    if again.isEmpty():
+        keep = join(known, n, num, den).filter("doc_id = component_id").select("doc_id")
+        return known.join(keep, "doc_id", "left_semi").select(columns).unionAll(bare)
+    once = known.join(again, "doc_id", "left_anti").select(columns)
+    # Ids of several rows: one row of each (id, text), and a number of its own for all but the first text of an id.
+    rows = known.join(again, "doc_id", "left_semi").select(F.struct(columns).alias("row"))
+    order = F.sha2(F.to_json("row"), 256)
+    text = F.when(F.col("row.text").rlike("[^ \\t-\\r]"), F.col("row.text")).otherwise("")  # texts without a word are equal
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.md5(text).alias("form"), order.alias("order"))
+    rows = rows.groupBy("id", "form").agg(F.min_by("row", "order").alias("row"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("form")) == 1
+    rows = materialize(rows.withColumn("first", first).withColumn("extra", F.monotonically_increasing_id()))
+    above = known.agg(F.max(F.col("doc_id").cast("long"))).first()[0] + 1
+    rows = rows.withColumn("number", F.when(F.col("first"), F.col("id")).otherwise(F.col("extra") + above)).drop("first", "extra")
+    sets = once.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionAll(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    found = join(sets, n, num, den).select(F.col("doc_id").alias("number"), "component_id")
+    named = found.join(rows.select("number", "id", "form"), "number", "left")
+    least = F.min(F.struct(F.coalesce("id", "number").alias("id"), F.coalesce("form", F.lit("")).alias("form"), "number"))
+    keep = materialize(named.groupBy("component_id").agg(least.alias("least")).select("least.number"))
+    return once.join(keep, once.doc_id.cast("long") == keep.number, "left_semi").unionAll(rows.join(keep, "number", "left_semi").select("row.*")).unionAll(bare)

@@ -108,3 +108,25 @@ def test_large_groups_in_parts(table, monkeypatch):
     rows = near_copies(9, 120, 40)
     got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.join(table(rows)).collect()], key=repr)
     assert got == brute(rows)
+
+
+def test_other_texts_of_an_id_are_kept(table):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, c), (2, b), (3, b), (4, c + " end"), (5, ""), (5, " "), (6, a), (6, "unlike all others by far")]
+    # b and c differ, so id 2 stays for both; 3 and 4 are near them, 6 once near 1.
+    for order in (rows, rows[::-1]):
+        got = sorted((r["doc_id"], r["text"].strip()) for r in setjoin.deduplicated(table(order)).collect())
+        assert got == sorted([(1, a), (2, b), (2, c), (5, ""), (6, "unlike all others by far")])
+
+
+def test_members_are_compared_with_the_set_they_were_paired_with(spark, table):
+    from pyspark.sql import functions as F
+
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    docs = table([(1, a), (1, b), (2, a + " end"), (3, b + " end")])
+    held = docs.select("doc_id", "text").mapInArrow(setjoin._map(4, 85, 100, 64), setjoin._MAPPED_SQL).repartition(4, "bucket").mapInArrow(setjoin._reduce, setjoin._MAPPED_SQL)
+    classes = held.filter("blob is null").groupBy("entity", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).cache()
+    of = {r["rep"]: r["entity"] for r in classes.collect() if r["rep"] > 1}
+    ones = [r["entity"] for r in classes.filter("rep = 1").collect()]
+    pairs = spark.createDataFrame([(x, y) for x in ones for y in of.values()], "a long, b long")
+    assert sorted(map(tuple, setjoin._verified(pairs, classes, docs, 4, 85, 100).collect())) == [(1, 2), (1, 3)]
