@@ -43,7 +43,7 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-class Codec:
+class WordPieces:
     """Encoder and decoder for a `tokenizers` file of kind BPE with word ends."""
 
     def __init__(self, path: str):
@@ -173,14 +173,14 @@ class Codec:
         return " ".join([self.name[i] for i in ids])
 
 
-_codecs: dict[str, Codec] = {}
+_coders: dict[str, WordPieces] = {}
 
 
-def codec(path: str) -> Codec:
-    """One codec for each file and Python worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def coder(path: str) -> WordPieces:
+    """One coder for each file and Python worker."""
+    if path not in _coders:
+        _coders[path] = WordPieces(path)
+    return _coders[path]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = coder(path)
         for batch in slices(batches, 2 << 20):
             found = [c.encode_full(text) for text in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *(len(i) // 4 for i, _ in found)], dtype=np.int32)

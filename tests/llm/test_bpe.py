@@ -17,30 +17,30 @@ def library():
     return t
 
 
-def same(library, codec, text):
+def same(library, coder, text):
     ids = library.encode(text, add_special_tokens=False).ids
-    assert codec.encode(text) == ids, text
-    assert codec.encode_full(text)[1] == codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert coder.encode(text) == ids, text
+    assert coder.encode_full(text)[1] == coder.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_random_texts_equal_the_library(library):
-    codec, rng = bpe.Codec(PATH), random.Random(5)
+    coder, rng = bpe.WordPieces(PATH), random.Random(5)
     letters = "aAbeEéÉ ’'\"sStTlLdD.,!?0123 \n\t\x1c\x85\xa0ßİıΣσςАΑ漢字🙂éñ²½ªŉǅ<|>_-\x00\x7f "
     for k in range(3000):
         s = "".join(rng.choice(letters) for _ in range(rng.randrange(25)))
-        same(library, codec, s + "<|endoftext|>" + s[:4] + "<|startoftext|>" if k % 50 == 0 else s)
+        same(library, coder, s + "<|endoftext|>" + s[:4] + "<|startoftext|>" if k % 50 == 0 else s)
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 3000, "aab" * 999, "!" * 700, "haha" * 50 + "</w>", "</w></w>", "<|endoftext|>" * 3, "İstanbul ΑΣ", "don't we'LL"])
 def test_long_and_special(library, text):
-    same(library, bpe.codec(PATH), text)
+    same(library, bpe.coder(PATH), text)
 
 
 def test_cache_overflow(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
-    codec = bpe.Codec(PATH)
+    coder = bpe.WordPieces(PATH)
     for text in ("one two three four five six", "six five four three two one"):
-        same(library, codec, text)
+        same(library, coder, text)
 
 
 def test_rows(library, odd_rows, odd, empty):
