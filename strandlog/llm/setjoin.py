@@ -2,12 +2,21 @@
 
 Method: universe partition and the pigeonhole. Two sets with a Jaccard similarity of at least num/den differ in at most
 H tokens, which their sizes bound. Sizes fall into bands such that a set's partners lie in its own band or the next one. In
-each band tokens are hashed into segments; a band's plan, the cheaper by its cost, is either
- - equal: H + 1 + spare segments, each set's subset of a segment is one signature, or
- - delete: (H + 1) / 2 segments, and each subset and all that lack one token of it are signatures,
-so that linked sets share a signature. Segments of which a set has nothing give no signature; the spare ones make up for
-that, and sets with more empty segments than spares are also partitioned by the next of SEEDS hash functions, under the last
-of which empty segments count too. Candidates are verified on the sets themselves.
+each band tokens are hashed into segments, and each segment is allocated
+ - 0: not indexed,
+ - 1: each set's subset of the segment is one signature, which sets that agree there share,
+ - 2: so is each subset that lacks one token of it, so that sets which differ there in one token share one as well.
+Sets that share no signature differ in at least as many tokens as their segments are allocated together; with H + 1 or more
+they are not linked. A segment of which a set has nothing gives no signature and does not count, one of which it has one
+token counts 1 at most; spare allocations make up for that, and a set that still has too few is also partitioned by the next
+of SEEDS hash functions, after the last of which H + 1 segments count whether empty or not. Candidates are verified on the
+sets themselves.
+
+The allocation is by cost, and decides nothing but cost. A first pass over all documents counts, for each band, its sets and
+how many of them have a token in each of CELLS ranges of hashes (of sets with one least hash in a task only the first, so
+that near copies, which meet under any allocation, count once). A segment costs its signatures, and the pairs that meet by
+chance because a frequent token stands alone in it; numbers of segments are tried, and allocations taken by their cost for
+what they count, until all sets of the band have enough.
 
 Equal sets are one entity. In each group of a signature, all are first compared with the group's least entity. What those
 links connect needs no further comparison for components. For every other pair of a group's members from different
@@ -30,11 +39,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blobs import BUCKETS, Packer, batch, bucket_of, unpack
-from .common import GEAR_FOLDED, RollingHash, grams, materialize, mix, slices, tasks, text_buffer, texts, words
+from .common import GEAR_FOLDED, SLICE, RollingHash, collect_counts, count_rows, grams, materialize, mix, slices, tasks, text_buffer, texts, words
 from .components import components
 
 U64 = np.uint64
 SEEDS = 4
+#: Ranges of hashes whose sets are counted, one vector for each band.
+CELLS = SLICE
+#: Bytes of a signature, and what a pair that meets by chance costs in such bytes.
+RECORD, PAIR = 16, 64
 #: Members of a group in one row, and in one comparison of sketches; larger groups are several.
 CHUNK = 4096
 #: Members that one task compares with one entity.
@@ -68,31 +81,88 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Plan:
-    """Bands of set sizes and their signatures, for similarity of at least num / den."""
+    """Bands of set sizes and their signatures, for similarity of at least num / den.
 
-    def __init__(self, num: int, den: int):
+    measured: band to (sets, sets with a token in each of CELLS ranges of hashes), own sets and those of the band below;
+    bands that it lacks have no sets. None: every band counts as having sets without frequent tokens.
+    """
+
+    def __init__(self, num: int, den: int, measured: dict[int, tuple[int, np.ndarray]] | None = None):
         self.num, self.den = num, den
         self.upper = [0]
+        self.measured = measured
+        self.allocated: dict[int, np.ndarray] = {}
+        if measured is not None:
+            for band in measured:
+                self.of(band)
+            self.measured = dict.fromkeys(measured)
+
+    def _reach(self, band: int) -> int:
+        while len(self.upper) <= band:
+            self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * self.den // self.num))
+        return self.upper[band]
 
     def band(self, size: np.ndarray) -> np.ndarray:
         while self.upper[-1] < size.max(initial=1):
-            u = self.upper[-1]
-            self.upper.append(max(u + 1, u * self.den // self.num))
+            self._reach(len(self.upper))
         return np.searchsorted(np.array(self.upper), size, "left")
 
-    def of(self, band: int) -> tuple[str, int, int]:
-        """Kind of plan, number of segments, and spare ones among them."""
-        while len(self.upper) <= band:
-            self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * self.den // self.num))
-        size = self.upper[band]
-        h = 2 * size * (self.den - self.num) // (self.den + self.num)
-        if not h:
-            return "none", 1, 0  # only equal sets are linked
-        spare = 1 + (h + 1) * 3 // 100
-        equal, delete = h + 1 + spare, (h + 2) // 2
-        # Small subsets meet by chance, which costs comparisons.
-        cost = equal * (1 + 200 * np.exp(-0.9 * size / equal))
-        return ("delete", delete, 0) if size + delete < cost else ("equal", equal, spare)
+    def needed(self, band: int) -> int:
+        """H + 1."""
+        return self.differ(2 * self._reach(band)) + 1
+
+    def of(self, band: int) -> np.ndarray:
+        """The allocation of each segment; none where only equal sets are linked or no set is."""
+        if band not in self.allocated:
+            none = self.needed(band) == 1 or self.measured is not None and band not in self.measured
+            self.allocated[band] = np.zeros(0, np.uint8) if none else self._allocate(band)
+        return self.allocated[band]
+
+    def _allocate(self, band: int) -> np.ndarray:
+        upper, need = self.upper[band], self.needed(band)
+        sets, cells = (1, np.zeros(CELLS)) if self.measured is None else self.measured[band]
+        usual = np.median(cells)
+        heat = np.maximum(cells - usual - 3 * np.sqrt(usual), 0.0) ** 2
+        # Sets of this band and of the one below.
+        least, mean = max(self.upper[band - 2] + 1 if band > 1 else 1, 1), (upper + self.upper[max(band - 2, 0)]) / 2
+        best, found = np.inf, None
+        for share in (0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0, 1.05, 1.1, 1.15, 1.2, 1.3, 1.5, 2.0):
+            cost, levels = self._levels(max(-(-need // 2), round(need * share)), need, sets, heat, least, mean)
+            if cost < best:
+                best, found = cost, levels
+        return found if found is not None else np.full(max(2 * need, 1), 1, np.uint8)
+
+    @staticmethod
+    def _levels(m: int, need: int, sets: int, heat: np.ndarray, least: float, mean: float) -> tuple[float, np.ndarray | None]:
+        """The cheapest allocation of m segments, and its cost in bytes; None if they cannot count enough for a set of `least` tokens."""
+        none, one = (1 - 1 / m) ** mean, mean / m * (1 - 1 / m) ** (mean - 1)
+        none_least, one_least = (1 - 1 / m) ** least, least / m * (1 - 1 / m) ** (least - 1)
+        if m <= CELLS:
+            warm, low = np.zeros(m), np.arange(CELLS) * m // CELLS
+            high = (np.arange(1, CELLS + 1) * m - 1) // CELLS
+            np.add.at(warm, low, heat)
+            np.add.at(warm, high[high > low], heat[high > low])
+        else:
+            warm = heat[np.arange(m) * CELLS // m] * CELLS / m
+        first = RECORD * sets * (1 - none) + PAIR / 2 * warm * none**2
+        second = RECORD * sets * (1 - none + mean / m) + PAIR / 2 * warm * (none + one) ** 2
+        gain, more = 1 - none_least, 1 - none_least - one_least
+        if gain <= 0 or more <= 0:
+            return np.inf, None
+        step = (second - first) / more
+        joint = step < first / gain  # both levels together are cheaper for what they count than the first alone
+        price = np.concatenate([np.where(joint, second / (gain + more), first / gain), np.where(joint, np.inf, step)])
+        counts = np.concatenate([np.where(joint, gain + more, gain), np.where(joint, 0.0, more)])
+        cost = np.concatenate([np.where(joint, second, first), np.where(joint, 0.0, second - first)])
+        order = np.argsort(price, kind="stable")
+        target = need + 2 * np.sqrt(m * none_least * (1 - none_least)) - 1e-9
+        taken = int(np.searchsorted(np.cumsum(counts[order]), target)) + 1
+        if counts.sum() < target:
+            return np.inf, None
+        chosen = order[:taken]
+        levels = np.zeros(m, np.uint8)
+        np.add.at(levels, chosen % m, np.where(joint[chosen % m], 2, 1).astype(np.uint8))
+        return float(cost[chosen].sum()), levels
 
     def differ(self, size: int) -> int:
         """In how many tokens two linked sets may differ, of so many tokens together."""
@@ -107,6 +177,11 @@ class Plan:
         packed = np.packbits(np.bincount(bit, minlength=base[-1]).astype(np.uint8) & 1).tobytes()
         return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
 
+    @staticmethod
+    def hashes(token: np.ndarray, band: np.ndarray, seed: int) -> np.ndarray:
+        """By the upper bits of these a band's tokens fall into cells and segments."""
+        return mix(token + mix((band * SEEDS + seed + 1).astype(U64)))
+
     def signatures(self, owner: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """Signatures and their rows, each distinct in its row."""
         size = np.bincount(owner, minlength=rows)
@@ -114,78 +189,70 @@ class Plan:
         found = []
         for step in (0, 1):
             band = own + step
-            top = int(band.max(initial=0)) + 1
-            plans = [self.of(b) for b in range(top)]
-            kind = np.array([p[0] for p in plans])[band]
-            m = np.array([p[1] for p in plans])[band]
-            spare = np.array([p[2] for p in plans])[band]
-            live = (size > 0) & (kind != "none")
-            for seed in range(SEEDS):
+            plans = [self.of(b) for b in range(int(band.max(initial=0)) + 1)]
+            segments = np.array([len(p) for p in plans])
+            base, levels = np.concatenate([[0], np.cumsum(segments)])[:-1], np.concatenate(plans)
+            need = np.array([self.needed(b) for b in range(len(plans))])
+            live = (size > 0) & (segments[band] > 0)
+            for seed in range(SEEDS - 1):
                 if not live.any():
                     break
-                sig, of, empty = self._of_seed(owner, token, live, band, m, kind, seed)
+                sig, of, counts = self._of_seed(owner, token, live, band, segments, base, levels, seed)
                 found.append((sig, of))
-                live = live & (kind == "equal") & (empty > spare)
-                if seed == SEEDS - 2 and live.any():
-                    found.append(self._empty(owner, token, live, band, m))
-                    break
+                live = live & (counts < need[band])
+            if live.any():
+                found.append(self._whole(owner, token, live, band, need[band]))
         if not found:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         return np.concatenate([s for s, _ in found]), np.concatenate([o for _, o in found])
 
-    @staticmethod
-    def _segments(owner, token, live, band, m, seed):
+    @classmethod
+    def _segments(cls, owner, token, live, band, m, seed, levels=None, base=None):
+        """Rows, tokens and segments of those that are allocated, by row and segment; the first of each segment."""
         use = live[owner]
         o, t = owner[use], token[use]
-        place = mix(t + mix((band[o] * SEEDS + seed + 1).astype(U64))) % m[o].astype(U64)
-        order = np.argsort((o.astype(U64) << U64(32)) | place, kind="stable")
-        o, t, place = o[order], t[order], place[order].astype(np.int64)
+        place = ((cls.hashes(t, band[o], seed) >> U64(32)) * m[o].astype(U64) >> U64(32)).astype(np.int64)
+        if levels is not None:
+            use = levels[base[band[o]] + place] > 0
+            o, t, place = o[use], t[use], place[use]
+        order = np.argsort((o.astype(U64) << U64(32)) | place.astype(U64), kind="stable")
+        o, t, place = o[order], t[order], place[order]
         new = np.ones(len(o), bool)
         new[1:] = (o[1:] != o[:-1]) | (place[1:] != place[:-1])
-        return o, t, place, new
+        return o, t, place, np.flatnonzero(new)
+
+    @staticmethod
+    def _salt(band, place, seed):
+        return mix((band * SEEDS + seed).astype(U64) * U64(1 << 32) + place.astype(U64))
 
     @classmethod
-    def _of_seed(cls, owner, token, live, band, m, kind, seed):
-        o, t, place, new = cls._segments(owner, token, live, band, m, seed)
-        first = np.flatnonzero(new)
+    def _of_seed(cls, owner, token, live, band, segments, base, levels, seed):
+        o, t, place, first = cls._segments(owner, token, live, band, segments[band], seed, levels, base)
+        if not len(o):
+            return np.zeros(0, U64), o, np.zeros(len(live))
         value = mix(t + U64(0x51))
-        content = np.add.reduceat(value, first) if len(first) else value
-        of = o[first]
-        salt = mix((band[of] * SEEDS + seed).astype(U64) * U64(1 << 32) + place[first].astype(U64))
-        sig = mix(content + salt)
-        empty = m - np.bincount(of, minlength=len(m))
-        drop = (kind == "delete")[o]
-        if drop.any():
-            which = np.cumsum(new) - 1
-            sig = np.concatenate([sig, mix(content[which[drop]] - value[drop] + salt[which[drop]])])
-            # An empty segment of a delete plan counts as a subset like any other.
-            row = np.flatnonzero(live & (kind == "delete") & (empty > 0))
-            of = np.concatenate([of, o[drop]])
-            if len(row):
-                s, r = cls._missing(of[: len(first)], place[first], row, band, m, seed)
-                sig, of = np.concatenate([sig, s]), np.concatenate([of, r])
-        return sig, of, empty
-
-    @staticmethod
-    def _missing(of, place, rows, band, m, seed):
-        sigs, owners = [], []
-        for r in rows:
-            gone = np.setdiff1d(np.arange(m[r]), place[of == r])
-            sigs.append(mix(mix(U64(int(band[r]) * SEEDS + seed) * U64(1 << 32) + gone.astype(U64))))
-            owners.append(np.full(len(gone), r))
-        return np.concatenate(sigs), np.concatenate(owners)
+        content = np.add.reduceat(value, first)
+        of, length = o[first], np.diff(first, append=len(o))
+        salt = cls._salt(band[of], place[first], seed)
+        near = (levels[base[band[of]] + place[first]] == 2) & (length > 1)
+        counts = np.bincount(of, 1.0 + near, minlength=len(live))
+        which = np.repeat(np.arange(len(first)), length)
+        drop = near[which]
+        lacking = mix(content[which[drop]] - value[drop] + salt[which[drop]])
+        return np.concatenate([mix(content + salt), lacking]), np.concatenate([of, o[drop]]), counts
 
     @classmethod
-    def _empty(cls, owner, token, live, band, m):
-        """Under the last seed: every segment, empty or not."""
+    def _whole(cls, owner, token, live, band, need):
+        """Under the last seed: H + 1 segments, empty or not."""
         seed = SEEDS - 1
-        o, t, place, new = cls._segments(owner, token, live, band, m, seed)
-        first = np.flatnonzero(new)
-        of = o[first]
-        content = np.add.reduceat(mix(t + U64(0x51)), first)
-        sig = mix(content + mix((band[of] * SEEDS + seed).astype(U64) * U64(1 << 32) + place[first].astype(U64)))
-        s, r = cls._missing(of, place[first], np.flatnonzero(live), band, m, seed)
-        return np.concatenate([sig, s]), np.concatenate([of, r])
+        rows = np.flatnonzero(live)
+        start = np.zeros(len(live) + 1, np.int64)
+        np.cumsum(np.where(live, need, 0), out=start[1:])
+        content = np.zeros(start[-1], U64)
+        o, t, place, first = cls._segments(owner, token, live, band, need, seed)
+        content[start[o[first]] + place[first]] = np.add.reduceat(mix(t + U64(0x51)), first)
+        of = np.repeat(rows, need[rows])
+        return mix(content + cls._salt(band[of], np.arange(start[-1]) - start[of], seed)), of
 
 
 def _digests(owner: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,81 +266,140 @@ def _digests(owner: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarra
     return out[0], out[1]
 
 
-_MAPPED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("entity", pa.int64()), ("other", pa.int64()), ("blob", pa.binary()), ("sketch", pa.binary())])
-_MAPPED_SQL = "bucket int, doc_id long, n long, entity long, other long, blob binary, sketch binary"
+_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("entity", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary()), ("name", pa.string()), ("part", pa.int32()), ("blob", pa.binary())])
+_DESCRIBED_SQL = "doc_id long, n long, entity long, other long, sketch binary, name string, part int, blob binary"
+
 
+def _describe(n: int, num: int, den: int):
+    """Each document's set, and at the end of a task what it has counted."""
 
-def _map(n: int, num: int, den: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, packer = Plan(num, den), Packer(_ENTRY, buckets)
+        plan, seen = Plan(num, den), np.zeros(1 << 16, U64)
+        sets: dict[int, int] = {}
+        cells: dict[int, np.ndarray] = {}
         for part in slices(batches):
             rows = part.num_rows
             owner, token = shingle_sets(part.column("text"), n)
             entity, other = _digests(owner, token, rows)
             size = np.bincount(owner, minlength=rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket_of(entity, buckets).astype(np.int32)), part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(entity.view(np.int64)), pa.array(other.view(np.int64)), pa.nulls(rows, pa.binary()), pa.array(plan.sketches(owner, token, rows), pa.binary())],
-                schema=_MAPPED,
-            )
+            sketches = plan.sketches(owner, token, rows)
+            described = [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(entity.view(np.int64)), pa.array(other.view(np.int64)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*described, *(pa.nulls(rows, f.type) for f in list(_DESCRIBED)[5:])], schema=_DESCRIBED)
+            own = plan.band(size)
+            for b, k in zip(*(x.tolist() for x in np.unique(own[size > 0], return_counts=True)), strict=True):
+                sets[b] = sets.get(b, 0) + k
+            filled = np.flatnonzero(size > 0)
+            if not len(filled):
+                continue
+            least = np.minimum.reduceat(token, np.searchsorted(owner, filled))
+            fresh = np.zeros(rows, bool)
+            for row, h in zip(filled.tolist(), least.tolist(), strict=True):
+                if seen[h & 0xFFFF] != h:
+                    seen[h & 0xFFFF], fresh[row] = h, True
+            use = fresh[owner]
+            o, t = owner[use], token[use]
+            for step in (0, 1):
+                band = own[o] + step
+                cell = (Plan.hashes(t, band, 0) >> U64(52)).astype(np.int64)
+                # A set counts once in a cell.
+                key = np.unique(o * CELLS + cell)
+                found = np.bincount((own[key // CELLS] + step) * CELLS + key % CELLS)
+                for b in np.unique(own[fresh] + step).tolist():
+                    got = found[b * CELLS : (b + 1) * CELLS]
+                    cells[b] = cells.get(b, np.zeros(CELLS, np.int64)) + np.pad(got, (0, CELLS - len(got)))
+        counts = np.bincount(list(sets), list(sets.values()), CELLS).astype(np.int64) if sets else np.zeros(CELLS, np.int64)
+        found = [r for b, v in cells.items() for r in count_rows(str(b), v)] + count_rows("sets", counts)
+        yield batch(_DESCRIBED, [(None, None, None, None, None, *r) for r in found])
+
+    return run
+
+
+def measured(counts: dict[str, np.ndarray]) -> dict[int, tuple[int, np.ndarray]]:
+    """What Plan takes, of the sums of all tasks' counts. A band without sets of its own needs no signatures."""
+    sets = counts.get("sets", np.zeros(CELLS, np.int64))
+    return {b: (int(sets[b] + sets[b - 1]), counts.get(str(b), np.zeros(CELLS))) for b in np.flatnonzero(sets).tolist()}
+
+
+_SIGNED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+_SIGNED_SQL = "bucket int, blob binary"
+
+
+def _sign(n: int, plan, buckets: int):
+    """Signatures of all sets, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(_ENTRY, buckets)
+        for part in slices(batches):
+            rows = part.num_rows
+            owner, token = shingle_sets(part.column("text"), n)
+            entity, _ = _digests(owner, token, rows)
             # Equal sets of this batch send their signatures once.
             once = np.zeros(rows, bool)
             once[np.unique(entity, return_index=True)[1]] = True
             use = once[owner]
-            sig, of = plan.signatures(owner[use], token[use], rows)
+            sig, of = plan.value.signatures(owner[use], token[use], rows)
             records = np.empty(len(sig), _ENTRY)
             records["sig"], records["entity"] = sig, entity[of]
             packer.add(records, bucket_of(sig, buckets))
             if packer.full():
-                yield batch(_MAPPED, [(b, None, None, None, None, blob, None) for b, blob in packer.take()])
-        yield batch(_MAPPED, [(b, None, None, None, None, blob, None) for b, blob in packer.take()])
+                yield batch(_SIGNED, list(packer.take()))
+        yield batch(_SIGNED, list(packer.take()))
 
     return run
 
 
+_GROUPS = pa.schema([("group", pa.int64()), ("blob", pa.binary())])
+_GROUPS_SQL = "group long, blob binary"
+
+
+def _groups(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket, each group of two entities or more that share a signature: its members in rows of CHUNK."""
+    entries = unpack(blobs, _ENTRY)
+    order = np.lexsort((entries["entity"], entries["sig"]))
+    sig, entity = entries["sig"][order], entries["entity"][order]
+    del entries
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (entity[1:] != entity[:-1])
+    sig, entity = sig[new], entity[new]
+    first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0) if len(sig) else np.zeros(0, np.int64)
+    length = np.diff([*first, len(sig)])
+    many = length > 1
+    known: set[tuple[int, int, int]] = set()
+    sums = np.zeros(len(sig) + 1, U64)
+    np.cumsum(mix(entity + U64(0x77)), out=sums[1:])
+    total = sums[first + length] - sums[first]
+    rows = []
+    for at, size, whole, name in zip(first[many].tolist(), length[many].tolist(), total[many].tolist(), mix(total[many]).view(np.int64).tolist(), strict=True):
+        content = (size, int(entity[at]), whole)
+        if content in known:  # another segment with the same members
+            continue
+        known.add(content)
+        for k in range(0, size, CHUNK):
+            rows.append((name, entity[at + k : at + min(k + CHUNK, size)].tobytes()))
+        if len(rows) >= 4096:
+            yield batch(_GROUPS, rows)
+            rows = []
+    yield batch(_GROUPS, rows)
+
+
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents on, and gives each group of two entities or more that share a signature: its members in rows of CHUNK, told apart by `other`."""
-    held: dict[int, list[bytes]] = {}
+    """Rows sorted by bucket, of which one is held at a time."""
+    now, held = None, []
     for part in batches:
-        is_doc = part.column("blob").is_null()
-        docs = part.filter(is_doc)
-        if docs.num_rows:
-            yield docs
-        rest = part.filter(pa.compute.invert(is_doc))
-        for b, blob in zip(rest.column("bucket").to_pylist(), rest.column("blob").to_pylist(), strict=True):
-            held.setdefault(b, []).append(blob)
-    for b in list(held):
-        entries = unpack(held.pop(b), _ENTRY)
-        order = np.lexsort((entries["entity"], entries["sig"]))
-        sig, entity = entries["sig"][order], entries["entity"][order]
-        del entries
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (entity[1:] != entity[:-1])
-        sig, entity = sig[new], entity[new]
-        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0) if len(sig) else np.zeros(0, np.int64)
-        length = np.diff([*first, len(sig)])
-        many = length > 1
-        known: set[tuple[int, int, int]] = set()
-        sums = np.zeros(len(sig) + 1, U64)
-        np.cumsum(mix(entity + U64(0x77)), out=sums[1:])
-        total = sums[first + length] - sums[first]
-        rows = []
-        for at, size, whole, name in zip(first[many].tolist(), length[many].tolist(), total[many].tolist(), mix(total[many]).view(np.int64).tolist(), strict=True):
-            content = (size, int(entity[at]), whole)
-            if content in known:  # another segment with the same members
-                continue
-            known.add(content)
-            for k in range(0, size, CHUNK):
-                rows.append((b, None, size, name, k // CHUNK, entity[at + k : at + min(k + CHUNK, size)].tobytes(), None))
-            if len(rows) >= 4096:
-                yield batch(_MAPPED, rows)
-                rows = []
-        yield batch(_MAPPED, rows)
+        for b, blob in zip(part.column("bucket").to_pylist(), part.column("blob").to_pylist(), strict=True):
+            if b != now and held:
+                yield from _groups(held)
+                held = []
+            now = b
+            held.append(blob)
+    if held:
+        yield from _groups(held)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups' rows to members."""
     for part in batches:
-        group = np.repeat(part.column("entity").to_numpy(zero_copy_only=False), [len(b) // 8 for b in part.column("blob").to_pylist()] if part.num_rows else [])
+        group = np.repeat(part.column("group").to_numpy(zero_copy_only=False), [len(b) // 8 for b in part.column("blob").to_pylist()] if part.num_rows else [])
         member = np.frombuffer(b"".join(part.column("blob").to_pylist()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), pa.array(member)], ["group", "entity"])
 
@@ -377,12 +503,14 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     dealt_to = tasks(spark)
     buckets = dealt_to * BUCKETS
     docs = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    dealt = docs.mapInArrow(_map(n, num, den, buckets), _MAPPED_SQL).repartition(dealt_to, "bucket")
-    held = materialize(dealt.mapInArrow(_reduce, _MAPPED_SQL))
-    own = held.filter("blob is null").select("doc_id", "n", "entity", "other", "sketch")
+    described = materialize(docs.mapInArrow(_describe(n, num, den), _DESCRIBED_SQL))
+    own = described.filter("name is null").select("doc_id", "n", "entity", "other", "sketch")
+    counts = collect_counts(described.filter("name is not null").select("name", "part", "blob"), CELLS)
+    plan = spark.sparkContext.broadcast(Plan(num, den, measured(counts)))
     # Copies are counted before they are dealt out, so a group of any size is a row for each task.
     classes = materialize(own.filter("n > 0").groupBy("entity", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    groups = held.filter("blob is not null")
+    signed = docs.mapInArrow(_sign(n, plan, buckets), _SIGNED_SQL).repartition(dealt_to, "bucket").sortWithinPartitions("bucket")
+    groups = materialize(signed.mapInArrow(_reduce, _GROUPS_SQL))
     member = materialize(groups.mapInArrow(_members, "group long, entity long").distinct())
     least = member.groupBy("group").agg(F.min("entity").alias("least"))
     stars = member.join(least, "group").filter("entity <> least").select(F.col("least").alias("a"), F.col("entity").alias("b")).distinct()

@@ -90,18 +90,54 @@ def test_linked_sets_share_a_signature(num, den):
 
 
 def test_sets_with_many_empty_segments(monkeypatch):
-    """Every seed and the last resort are used when no spare segment is allowed."""
-    real = setjoin.Plan.of
-    monkeypatch.setattr(setjoin.Plan, "of", lambda self, band: (lambda k, m, s: (k, m, -1 if k == "equal" else s))(*real(self, band)))
+    """Every seed and the last resort are used when no segment is spare."""
+    monkeypatch.setattr(setjoin.Plan, "_allocate", lambda self, band: np.full(self.needed(band), 1, np.uint8))
     rng = np.random.default_rng(3)
-    plan = setjoin.Plan(85, 100)
-    for size in (40, 90):
-        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-        y = x[:-2]
-        sig, of = plan.signatures(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2)
+    plan, last = setjoin.Plan(85, 100), []
+    real = setjoin.Plan._whole.__func__
+    monkeypatch.setattr(setjoin.Plan, "_whole", classmethod(lambda cls, owner, token, live, *a: last.append(live.sum()) or real(cls, owner, token, live, *a)))
+    for size in (14, 40, 90):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            y = x[: -(size // 14)]
+            sig, of = plan.signatures(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2)
+            assert set(sig[of == 0]) & set(sig[of == 1])
+    assert sum(last)
+
+
+@pytest.mark.parametrize("num", [85, 80])
+def test_allocation_follows_cost(num):
+    """Segments in which a frequent token falls are left out or keep company; without any, most sets send about H + 1 signatures."""
+    plain, rng = setjoin.Plan(num, 100), np.random.default_rng(1)
+    cells = np.full(setjoin.CELLS, 5)
+    band = int(plain.band(np.array([100]))[0])
+    cells[[7, 2000]] = 900_000
+    hot = setjoin.Plan(num, 100, {band: (1_000_000, cells)})
+    cold, levels, need = plain.of(band), hot.of(band), hot.needed(band)
+    for cell in (7, 2000):
+        assert levels[cell * len(levels) // setjoin.CELLS] != 1
+    assert need <= cold.sum() <= 1.3 * need + 2 and set(cold.tolist()) <= {0, 1}
+    assert hot.of(band + 1).size == 0  # no sets there
+    sets = [np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64)) for _ in range(200)]
+    sig, _ = plain.signatures(np.repeat(np.arange(200), [len(x) for x in sets]), np.concatenate(sets), 200)
+    assert len(sig) / 200 < 2 * 1.6 * need
+    for x in sets:  # whatever the allocation, linked sets share a signature
+        y = x[: -(100 - num) // 2]
+        sig, of = hot.signatures(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2)
         assert set(sig[of == 0]) & set(sig[of == 1])
 
 
+@pytest.mark.parametrize("num", [85, 80])
+def test_frequent_shingles(table, num):
+    """A line that all documents share, and passages that many do, change no link."""
+    rng = random.Random(num)
+    line = "this line stands in each and every document of the lot"
+    passages = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(30)) for _ in range(3)]
+    rows = [(i, f"{line} {rng.choice(passages)} {t}") for i, (_, t) in enumerate(near_copies(77, 150, 50))]
+    got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.join(table(rows), 5, num, 100).collect()], key=repr)
+    assert got == brute(rows, 5, num)
+
+
 def test_large_groups_in_parts(table, monkeypatch):
     monkeypatch.setattr(setjoin, "CHUNK", 8)
     monkeypatch.setattr(setjoin, "MEMBERS", 5)
@@ -124,8 +160,8 @@ def test_members_are_compared_with_the_set_they_were_paired_with(spark, table):
 
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     docs = table([(1, a), (1, b), (2, a + " end"), (3, b + " end")])
-    held = docs.select("doc_id", "text").mapInArrow(setjoin._map(4, 85, 100, 64), setjoin._MAPPED_SQL).repartition(4, "bucket").mapInArrow(setjoin._reduce, setjoin._MAPPED_SQL)
-    classes = held.filter("blob is null").groupBy("entity", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).cache()
+    own = docs.select("doc_id", "text").mapInArrow(setjoin._describe(4, 85, 100), setjoin._DESCRIBED_SQL).filter("name is null")
+    classes = own.groupBy("entity", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).cache()
     of = {r["rep"]: r["entity"] for r in classes.collect() if r["rep"] > 1}
     ones = [r["entity"] for r in classes.filter("rep = 1").collect()]
     pairs = spark.createDataFrame([(x, y) for x in ones for y in of.values()], "a long, b long")
