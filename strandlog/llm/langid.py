@@ -6,7 +6,9 @@ likelihood less a penalty for each language. The first language is the one with
 
 Counts cover every labelled training row; tasks add them as they stream, and only the vectors reach the driver.
 
-Defined results: null text and text without a letter are `und` with score 0; without training rows all are `und`; ties go to
+A text's margin is its mean log-likelihood of an n-gram beyond that of chance. Texts without one are in none of the languages.
+
+Defined results: null text and text without a letter are `und` with score and margin 0; without training rows all are `und`; ties go to
 the language that sorts first; labels with null text or null language teach nothing; repeated rows give repeated rows.
 """
 
@@ -29,12 +31,18 @@ MOST_LANGUAGES = 256
 PENALTY = 4.0
 ROUNDS = 12
 
+#: Letters, and numerals that are no decimal digits.
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than lower-case letters counts as one blank.
 _FOLD = bytes(b if b >= 0x80 or 97 <= b <= 122 else 0x20 for b in range(256))
 _BLANKS = re.compile(rb" +")
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is of a letter category (L*)."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def codes(text: str) -> np.ndarray:
     """Buckets of the n-grams (two to four bytes) of one text."""
     raw = np.frombuffer(b" " + _BLANKS.sub(b" ", text.lower().encode().translate(_FOLD)).strip() + b" ", np.uint8).astype(np.uint32)
@@ -74,13 +82,17 @@ class Model:
 
     def mixture(self, text: str | None) -> dict[str, float]:
         """Language to proportion, greatest first; empty without a letter."""
-        if not self.languages or not text or not _LETTER.search(text):
-            return {}
+        return self.analysis(text)[0]
+
+    def analysis(self, text: str | None) -> tuple[dict[str, float], float]:
+        """The mixture, and its mean log-likelihood of an n-gram beyond that of chance (each bucket as likely); 0 without a letter."""
+        if not self.languages or not text or not has_letter(text):
+            return {}, 0.0
         bucket, times = np.unique(codes(text), return_counts=True)
         p = self.p[:, bucket]
         share, _ = self._fit(p, times, np.full(len(p), 1 / len(p)), ROUNDS)
         order = np.argsort(-share, kind="stable")
-        best, found = -np.inf, {}
+        best, found, margin = -np.inf, {}, 0.0
         for k in range(1, len(order) + 1):
             chosen = order[:k]
             own, likely = self._fit(p[chosen], times, np.full(k, 1 / k), ROUNDS if k > 1 else 0)
@@ -88,7 +100,8 @@ class Model:
             if worth <= best:
                 break
             best, found = worth, {self.languages[i]: float(s) for i, s in zip(chosen, own, strict=True)}
-        return dict(sorted(found.items(), key=lambda x: (-x[1], x[0])))
+            margin = likely / times.sum() + float(np.log(BUCKETS))
+        return dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))), margin
 
 
 def fit(rows: DataFrame) -> Model:
@@ -101,23 +114,33 @@ def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in slices(batches):
-            found = [m.mixture(text) for text in batch.column("text").to_pylist()]
+            found, margins = zip(*map(m.analysis, batch.column("text").to_pylist()), strict=True)
             more = [
                 pa.array([list(f) for f in found], pa.list_(pa.string())),
                 pa.array([[float(x) for x in f.values()] for f in found], pa.list_(pa.float64())),
+                pa.array(margins, pa.float64()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "languages", "proportions"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "languages", "proportions", "margin"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """The columns `keep` of docs (text among them), and languages array<string>, proportions array<double>, lang_pred, score."""
-    df = docs.select(*keep).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), wider(docs, keep, "languages array<string>, proportions array<double>"))
+    """The columns `keep` of docs (text among them), and languages array<string>, proportions array<double>, margin double
+    (see analysis), lang_pred, score."""
+    df = docs.select(*keep).mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), wider(docs, keep, "languages array<string>, proportions array<double>, margin double"))
     # The greatest proportion is the score; texts without one are undetermined.
     return df.withColumn("lang_pred", F.coalesce(F.try_element_at("languages", F.lit(1)), F.lit("und"))).withColumn("score", F.least(F.lit(1.0), F.coalesce(F.try_element_at("proportions", F.lit(1)), F.lit(0.0))))
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with a language, with the columns they had."""
-    return unpacked(predict(packed(docs), model, ("doc_id", "text", REST)).filter("lang_pred <> 'und'"), docs.columns)
+    """The rows of docs in some language of the model, with the columns they had; a `lang` that is null becomes the one found.
+
+    Rejected are texts without a letter and those whose n-grams are no likelier under their mixture than by chance: texts in
+    other languages or scripts, and random letters.
+    """
+    rows = predict(packed(docs), model, ("doc_id", "text", REST)).filter("lang_pred <> 'und' and margin > 0").withColumnRenamed("lang_pred", "_found")
+    found = unpacked(rows, docs.columns, "_found")
+    if "lang" in docs.columns:
+        found = found.withColumn("lang", F.coalesce("lang", F.col("_found").cast(docs.schema["lang"].dataType)))
+    return found.select(*docs.columns)
