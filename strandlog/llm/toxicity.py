@@ -2,13 +2,18 @@
 
 Method: a word's vector is the mean of the vectors of its character n-grams and of itself, hashed into BUCKETS, so that
 unseen misspellings share vectors with known words. The vectors of WINDOW consecutive words are averaged and go through a
-linear softmax; a text is as toxic as its most toxic window, and every word of it lies in one. A run of over LONGEST letters
-(text without blanks) is cut into overlapping pieces, each a word of the windows. Vectors and softmax are
-trained jointly in numpy, on the driver, from at most PER_LABEL rows of each label (those with the smallest hashes of their
-ids), weighted towards the strongest windows as training goes on.
+linear softmax; a text is as toxic as its most toxic window, and every word of it lies in one. (One average of a whole text
+would thin a word out by the text's length.) A run of over LONGEST letters (text without blanks) is cut into overlapping
+pieces, each a word of the windows.
+
+Vectors and softmax start at random and are trained jointly in numpy, on the driver (Adagrad, weight decay). A text's logit
+is a softly greatest one of its windows', from their mean in the first epoch (SHARP) towards the greatest. N-grams of fewer
+than SEEN_IN training texts stay at zero: they would learn single texts by heart. Training takes at most PER_LABEL rows of
+each label, those with the smallest hashes of their ids, of texts of at most MOST_BYTES; the bias is corrected for the shares
+of the labels among all labelled rows.
 
 Defined results: text without a letter or digit scores 0; null text as empty; labels that are null or whose document is
-missing teach nothing; a document labelled twice counts as its greater label; if a label has no rows all scores are 0.
+missing teach nothing; a document labelled twice counts as its greater label, one of several texts as its least text; if a label has no rows all scores are 0.
 """
 
 from __future__ import annotations
@@ -26,12 +31,16 @@ from .common import slices, texts
 
 BUCKETS = 1 << 18
 SIZE = 8
-WINDOW = 8
-#: A shorter window, at a text's end, counts as this many words at least.
-LEAST = 4
-#: Most training rows of each label.
+WINDOW = 2
+#: Most training rows of each label, and most bytes of one.
 PER_LABEL = 1200
-EPOCHS = 6
+MOST_BYTES = 1 << 15
+SEEN_IN = 2
+#: How sharply the greatest window counts, epoch by epoch.
+SHARP = (0.0, 1.0, 2.0, 4.0, 6.0, 6.0)
+RATE = 0.3
+DECAY = 1e-5
+BATCH = 48
 #: Letters of a word; a longer run is several words, each with the last OVERLAP letters of the one before.
 LONGEST = 200
 OVERLAP = 5
@@ -60,104 +69,94 @@ def words_of(text: str | None) -> list[str]:
 
 
 def windows(n: int) -> np.ndarray:
-    """Starts of the windows over n words; the last one is shorter."""
+    """Starts of the windows over n words; the last one may be shorter."""
     return np.arange(0, n, WINDOW)
 
 
 class Trainer:
-    """Joint stochastic gradient descent (Adagrad) on n-gram vectors and softmax.
-
-    Vectors start along one direction, each as long as the shrunken log odds of its n-grams' document counts, so that the
-    strongest windows are worth attending to from the first step.
-    """
-
-    def __init__(self, docs: list[tuple[list[str], int]], seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.known: dict[str, np.ndarray] = {}
-        seen = np.zeros((2, BUCKETS), np.float32)
-        for w, y in docs:
-            seen[y][np.unique(np.concatenate([self.grams(x) for x in set(w)]))] += 1
-        total = np.array([sum(y == k for _, y in docs) for k in (0, 1)])
-        rates = np.log((seen + 0.5) / (total[:, None] + 1))
-        odds = (rates[1] - rates[0]) * seen.sum(0) / (seen.sum(0) + 10)
-        along = np.full(SIZE, SIZE**-0.5, np.float32)
-        self.vectors = (odds[:, None] * along + rng.normal(0, 0.01, (BUCKETS, SIZE))).astype(np.float32)
-        self.out = np.stack([-6 * along, 6 * along], 1) + rng.normal(0, 0.01, (SIZE, 2)).astype(np.float32)
-        self.bias = np.array([1, -1], np.float32)
-        self.seen = np.full((BUCKETS, SIZE), 1e-4, np.float32)
-        self.seen_out, self.seen_bias = np.full((SIZE, 2), 1e-4, np.float32), np.full(2, 1e-4, np.float32)
-        self.rng = rng
-
-    def grams(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            found = self.known[word] = np.array(buckets(word), np.int32)
-        return found
+    """Joint stochastic gradient descent (Adagrad) on n-gram vectors and softmax, from random starts."""
 
-    def step(self, docs: list[list[str]], labels: np.ndarray, sharp: float, rate: float) -> None:
+    def __init__(self, docs: list[list[str]], labels: list[int], seed: int = 7):
+        self.rng = np.random.default_rng(seed)
         index: dict[str, int] = {}
-        token = np.array([index.setdefault(w, len(index)) for d in docs for w in d])
-        grams = [self.grams(w) for w in index]
-        size = np.array([len(g) for g in grams])
-        gram = np.concatenate(grams)
-        of = np.repeat(np.arange(len(grams)), size)
+        self.docs = [np.array([index.setdefault(w, len(index)) for w in d], np.int64) for d in docs]
+        self.labels = np.array(labels)
+        grams = [buckets(w) for w in index]
+        self.size = np.array([len(g) for g in grams])
+        gram, word = np.array([x for g in grams for x in g], np.int64), np.repeat(np.arange(len(grams)), self.size)
+        ends = np.cumsum([0, *self.size])
+        seen = np.zeros(BUCKETS, np.int64)
+        for d in self.docs:
+            seen[np.unique(np.concatenate([gram[ends[w] : ends[w + 1]] for w in np.unique(d)]))] += 1
+        live = seen >= SEEN_IN
+        # Of each word only the n-grams that learn; the mean is over all of them.
+        self.gram, self.at = gram[live[gram]], np.searchsorted(word[live[gram]], np.arange(len(grams) + 1))
+        self.vectors = np.where(live[:, None], self.rng.normal(0, 0.1, (BUCKETS, SIZE)), 0).astype(np.float32)
+        self.out, self.bias = self.rng.normal(0, 2, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
+        self.steps = [np.full((BUCKETS, SIZE), 1e-8, np.float32), np.full((SIZE, 2), 1e-4, np.float32), np.full(2, 1e-2, np.float32)]
+
+    def step(self, rows: np.ndarray, sharp: float) -> None:
+        docs = [self.docs[i] for i in rows]
+        word, token = np.unique(np.concatenate(docs), return_inverse=True)
+        size = self.at[word + 1] - self.at[word]
+        of = np.repeat(np.arange(len(word)), size)
+        gram = self.gram[np.arange(size.sum()) + np.repeat(self.at[word] - np.cumsum(size) + size, size)]
         used, at = np.unique(gram, return_inverse=True)
-        have = self.vectors[used]
-        ends = np.cumsum([0, *size[:-1]])
-        word = np.add.reduceat(have[at], ends, axis=0) / size[:, None]
+        have, share = self.vectors[used], 1 / self.size[word][:, None]
+        vector = np.stack([np.bincount(of, have[at, k], len(word)) for k in range(SIZE)], 1) * share
         base = np.cumsum([0, *map(len, docs)])
         start = np.concatenate([b + windows(len(d)) for b, d in zip(base[:-1], docs, strict=True)])
-        owner = np.concatenate([np.full(len(windows(len(d))), k) for k, d in enumerate(docs)])
-        length = np.diff([*start, base[-1]])
-        width = np.maximum(length, LEAST)
-        window = np.add.reduceat(word[token], start, axis=0) / width[:, None]
+        owner = np.repeat(np.arange(len(docs)), [len(windows(len(d))) for d in docs])
+        length = np.diff(start, append=base[-1])
+        window = np.add.reduceat(vector[token], start, axis=0) / WINDOW
         logits = window @ self.out + self.bias
         gap = logits[:, 1] - logits[:, 0]
-        first = np.flatnonzero(np.diff([-1, *owner]))
-        top = np.maximum.reduceat(gap, first)
-        pull = np.exp(sharp * (gap - top[owner]))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        pull = np.exp(sharp * (gap - np.maximum.reduceat(gap, first)[owner]))
         pull /= np.add.reduceat(pull, first)[owner]
-        score = 1 / (1 + np.exp(-np.add.reduceat(pull * gap, first)))
-        slope = (pull * (score - labels)[owner] / len(docs)).astype(np.float32)
+        score = 1 / (1 + np.exp(-np.clip(np.add.reduceat(pull * gap, first), -50, 50)))
+        slope = pull * (score - self.labels[rows])[owner] / len(docs)
         both = np.stack([-slope, slope], 1)
-        d_out, d_bias = window.T @ both, both.sum(0)
-        d_window = (both @ self.out.T) / width[:, None]
-        spread = np.repeat(d_window, length, axis=0)
-        d_word = np.stack([np.bincount(token, spread[:, k], len(grams)) for k in range(SIZE)], 1) / size[:, None]
-        d_vec = np.stack([np.bincount(at, d_word[of, k], len(used)) for k in range(SIZE)], 1).astype(np.float32)
-        self.seen[used] += d_vec**2
-        self.vectors[used] -= rate * d_vec / np.sqrt(self.seen[used])
-        self.seen_out += d_out**2
-        self.seen_bias += d_bias**2
-        self.out -= rate * d_out / np.sqrt(self.seen_out)
-        self.bias -= rate * d_bias / np.sqrt(self.seen_bias)
+        spread = np.repeat(both @ self.out.T / WINDOW, length, axis=0)
+        d_word = np.stack([np.bincount(token, spread[:, k], len(word)) for k in range(SIZE)], 1) * share
+        d_vector = np.stack([np.bincount(at, d_word[of, k], len(used)) for k in range(SIZE)], 1) + DECAY * have
+        for held, where, d, sums in ((self.vectors, used, d_vector, self.steps[0]), (self.out, slice(None), window.T @ both, self.steps[1]), (self.bias, slice(None), both.sum(0), self.steps[2])):
+            sums[where] += d**2
+            held[where] -= RATE * d / np.sqrt(sums[where])
 
     def weights(self) -> tuple[np.ndarray, float]:
         """What each bucket adds to the difference of the two logits, and the difference of the biases."""
         return self.vectors @ (self.out[:, 1] - self.out[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 48, rate: float = 0.1, sharp: float = 6.0) -> tuple[np.ndarray, float] | None:
-    """rows: (text, label 0 or 1), in a fixed order. None if a label has no row with a word."""
+def train(rows: list[tuple[str, int]], odds: float = 1.0) -> tuple[np.ndarray, float] | None:
+    """rows: (text, label 0 or 1), in a fixed order; odds: by how much label 1 is commoner among them than it should be.
+
+    None if a label has no row with a word."""
     docs = [(w, y) for text, y in rows if (w := words_of(text))]
     if len({y for _, y in docs}) < 2:
         return None
-    t = Trainer(docs)
-    for _ in range(epochs):
+    t = Trainer([w for w, _ in docs], [y for _, y in docs])
+    for sharp in SHARP:
         order = t.rng.permutation(len(docs))
-        for k in range(0, len(order), batch):
-            part = [docs[i] for i in order[k : k + batch]]
-            t.step([w for w, _ in part], np.array([y for _, y in part]), sharp, rate)
-    return t.weights()
+        for k in range(0, len(order), BATCH):
+            t.step(order[k : k + BATCH], sharp)
+    weights, bias = t.weights()
+    return weights, bias - float(np.log(odds))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float] | None:
-    """labels: (doc_id, label). The chosen ids, of bounded number, are broadcast; their texts reach the driver."""
+    """labels: (doc_id, label). The chosen ids, of bounded number, are broadcast; their texts, of bounded size, reach the driver."""
     one = labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = one.filter("label = 0").orderBy(*order).limit(per_label).unionAll(one.filter("label = 1").orderBy(*order).limit(per_label))
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return train([(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))])
+    # Of several texts of an id the least one teaches.
+    fitting = texts(docs).filter(F.octet_length("text") <= MOST_BYTES)
+    found = fitting.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    all_of = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    taken = {k: min(n, per_label) for k, n in all_of.items()}
+    odds = taken.get(1, 1) / all_of.get(1, 1) / (taken.get(0, 1) / all_of.get(0, 1))
+    return train([(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: r["doc_id"])], odds)
 
 
 class Scorer:
@@ -179,7 +178,7 @@ class Scorer:
         if not len(found):
             return found
         at = windows(len(found))
-        return np.add.reduceat(found, at) / np.maximum(np.diff([*at, len(found)]), LEAST) + self.bias
+        return np.add.reduceat(found, at) / WINDOW + self.bias
 
 
 def _apply(model):
