@@ -17,7 +17,7 @@ COLUMNS = {
     "op4_chunk_dedup": {"doc_id": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op5_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op6_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
-    "op7_licenses": {"doc_id": "bigint", "digest": "string", "license_id": "string", "notices": "string"},
+    "op7_licenses": {"doc_id": "bigint", "digest": "string", "license_id": "string", "blocks": "string", "notices": "string"},
     "op8_quality": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op9_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op10_jaccard_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
