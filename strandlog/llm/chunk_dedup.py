@@ -1,8 +1,10 @@
 """Substring dedup by content-defined chunks.
 
-Method: a gear hash rolls over the bytes (16 bits, so each value depends on the 16 bytes before it). Of the places between
-words, those where it is least within REACH bytes on both sides cut the text into variable chunks: cuts depend on nearby
-bytes only, so an insertion moves no cut beyond its neighbourhood. Of all chunks with one digest (96 bits) the first by
+Method: a gear hash rolls over the bytes (16 bits, so each value depends on the 16 bytes before it). Every character boundary
+may be a cut; a place where white space ends goes before any other. The places with the least value within REACH bytes on
+both sides cut the text into variable chunks, which are longer than REACH bytes therefore. A chunk of over MOST bytes, in
+which the least value recurs (words or characters that go on and on), is cut where it does, more than REACH bytes apart.
+Cuts depend on nearby bytes only, so an insertion moves no cut beyond its neighbourhood, in text without blanks too. Of all chunks with one digest (96 bits) the first by
 (doc_id, position) stays. A run of neighbouring chunks that all came earlier is removed if it has at least LEAST bytes;
 shorter runs are everyday phrases and stay.
 
@@ -26,6 +28,7 @@ from .blobs import BUCKETS, Packer, batch, bucket_of, unpack
 from .common import GEAR, REST, SPACE, RollingHash, packed, slices, tasks, text_buffer, unpacked, wider
 
 REACH = 24
+MOST = 192
 LEAST = 100
 
 _GEAR16 = (GEAR >> np.uint64(48)).astype(np.uint16)
@@ -58,18 +61,34 @@ def cuts(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     to = np.arange(len(flat)) + np.repeat(apart * np.arange(1, len(length) + 1), length)
     wide = np.zeros(len(flat) + apart * (len(length) + 1), np.uint8)
     wide[to] = flat
-    # A cut may stand where white space ends or a character of three bytes or more begins.
-    may = np.zeros(len(wide), bool)
-    may[1:] = (SPACE[wide[:-1]] & ~SPACE[wide[1:]]) | (wide[1:] >= 0xE0)
-    h = gear(wide)
+    boundary = np.zeros(len(wide), bool)
+    boundary[to] = (flat & 0xC0) != 0x80
     value = np.full(len(wide), 1 << 20, np.uint32)
-    where = np.flatnonzero(may)
-    value[where] = h[where - 1]
+    value[1:][boundary[1:]] = gear(wide)[:-1][boundary[1:]]
+    value[1:] += np.where(SPACE[wide[:-1]] & ~SPACE[wide[1:]], 0, 1 << 16).astype(np.uint32)
     before = np.full(len(wide), 1 << 20, np.uint32)
     before[REACH:] = _least(value, REACH)[:-REACH]
-    chosen = (may & (value == _least(value, REACH + 1)) & (value < before))[to]
+    lowest = boundary & (value == _least(value, REACH + 1))
+    chosen = (lowest & (value < before))[to]
     chosen[at[:-1][length > 0]] = True
-    return np.flatnonzero(chosen)
+    start = np.flatnonzero(chosen)
+    end = np.append(start[1:], len(flat))
+    long = np.flatnonzero(end - start > MOST)
+    if not len(long):
+        return start
+    lowest, boundary = np.flatnonzero(lowest[to]), boundary[to]
+    more = [x for k in long for x in _steps(int(start[k]), int(end[k]), lowest, boundary)]
+    return np.union1d(start, np.array(more, np.int64))
+
+
+def _steps(start: int, end: int, lowest: np.ndarray, boundary: np.ndarray) -> Iterator[int]:
+    """Cuts of a stretch in which the least value recurs: at such places, over REACH and at most MOST bytes from each other."""
+    while end - start > MOST:
+        k = int(np.searchsorted(lowest, start + REACH + 1))
+        start = min(int(lowest[k]) if k < len(lowest) else end, start + MOST)
+        while not boundary[start]:
+            start -= 1
+        yield start
 
 
 def _chunks(column: pa.Array):
@@ -137,8 +156,14 @@ def _map(buckets: int):
 
 
 def _reduce(buckets: int):
+    """Rows sorted by bucket, of which one is held at a time."""
+
+    def found(blobs: list[bytes]) -> pa.RecordBatch:
+        c, later = _earliest(unpack(blobs, _CHUNK))
+        return _by_document(c["doc"][later], c["start"][later], c["more"][later], buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        now, held = None, []
         for part in batches:
             packed = part.column("doc_id").is_null()
             done = part.filter(pa.compute.invert(packed))
@@ -146,10 +171,13 @@ def _reduce(buckets: int):
                 yield done
             rest = part.filter(packed)
             for b, blob in zip(rest.column("bucket").to_pylist(), rest.column("blob").to_pylist(), strict=True):
-                held.setdefault(b, []).append(blob)
-        for b in list(held):
-            c, later = _earliest(unpack(held.pop(b), _CHUNK))
-            yield _by_document(c["doc"][later], c["start"][later], c["more"][later], buckets)
+                if b != now and held:
+                    yield found(held)
+                    held = []
+                now = b
+                held.append(blob)
+        if held:
+            yield found(held)
 
     return run
 
@@ -206,7 +234,7 @@ def located(docs: DataFrame, least: int = LEAST) -> DataFrame:
     n = tasks(docs.sparkSession)
     buckets = n * BUCKETS
     names = ["doc_id", "text", REST]
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map(buckets), _ROWS_SQL).repartition(n, "bucket")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_map(buckets), _ROWS_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_reduce(buckets), _ROWS_SQL).groupBy("doc_id").agg(F.collect_list("blob").alias("found")).withColumnRenamed("doc_id", "found_id")
     base = packed(docs)
     joined = base.join(found, base.doc_id == found.found_id, "left").drop("found_id")

@@ -75,3 +75,26 @@ def test_neighbours_do_not_matter():
 
 def test_empty(empty):
     assert chunk_dedup.dedup(empty).count() == 0
+
+
+def test_text_without_blanks_is_cut_too(table):
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789+/", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "漢字仮名交文🙂é"):
+        run = lambda n: "".join(RNG.choice(letters) for _ in range(n))  # noqa: E731, B023
+        passage = run(600)
+        rows = [(k, run(700) + passage + run(500)) for k in range(6)]
+        assert all(chunk_dedup.REACH < len(c) <= chunk_dedup.MOST for c in pieces(rows[0][1])[1:-1])
+        got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup(table(rows)).collect()}
+        assert got[0] == rows[0][1]
+        for k in range(1, 6):
+            assert passage[150:-150] not in got[k] and got[k].startswith(rows[k][1][:600]) and got[k].endswith(rows[k][1][-400:])
+
+
+def test_a_character_that_goes_on(table):
+    for c in "x漢":
+        found = pieces(c * 5000)
+        assert max(map(len, found)) <= chunk_dedup.MOST and b"".join(found).decode() == c * 5000
+    # The same stretch in two documents, not at the same distance from their beginnings.
+    rows = [(1, prose(30) + " " + "=" * 3000 + " " + prose(30)), (2, prose(45) + " " + "=" * 3000 + " " + prose(9))]
+    got = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup(table(rows)).collect()}
+    assert got[1].count("=") < 200 and got[2].count("=") < 200
+    assert chunk_dedup.dedup(table([(3, "For " * 900 + prose(20))])).first()["text"].count("For") < 60
