@@ -175,3 +175,10 @@ def goertzel_power(signal: Column, omega: float) -> Column:
     step = lambda s, x: F.struct((x.cast("double") + F.lit(k) * s["p"] - s["q"]).alias("p"), s["p"].alias("q"))
     power = lambda s: s["q"] * s["q"] + s["p"] * s["p"] - F.lit(k) * s["p"] * s["q"]
     return F.aggregate(signal, zero, step, power)
+
+
+def accepted(value: Column, confidence: Column, minimum: float = 0.30, wrong: int = 2) -> Column:
+    """Whether a read message of 40 bits counts as a mark: few wrong bits in the preamble, a CRC that fits its code, enough confidence."""
+    code = F.shiftright(value, 8).bitwiseAND(0xFFFF)
+    near = hamming16(F.shiftright(value, 24).cast("int"), F.lit(PREAMBLE)) <= wrong
+    return near & (value.bitwiseAND(0xFF) == crc8(code)) & (confidence >= minimum)

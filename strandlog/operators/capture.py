@@ -21,10 +21,10 @@ def check_config(chunk_bytes: int = CHUNK_BYTES, feed_bytes: int = FEED_BYTES, r
 def chunks(feeds: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """feeds: (feed, payload binary). One row for each chunk: feed, chunk, start (bytes before it), size, payload. An empty feed has none."""
     n = F.ceil(F.octet_length("payload") / chunk_bytes).cast("int")
-    at = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
-    df = feeds.select("feed", "payload", at.alias("chunk"))
-    part = F.substr("payload", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
-    return df.select("feed", F.col("chunk").cast("long").alias("chunk"), (F.col("chunk").cast("long") * chunk_bytes).alias("start"), F.octet_length(part).cast("long").alias("size"), part.alias("payload"))
+    # The payload is cut into an array first, so that a chunk's row carries its own bytes only.
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr(F.col("payload"), k * chunk_bytes + 1, F.lit(chunk_bytes)))
+    df = feeds.select("feed", F.posexplode(F.when(n > 0, cut)).alias("chunk", "payload"))
+    return df.select("feed", F.col("chunk").cast("long").alias("chunk"), (F.col("chunk").cast("long") * chunk_bytes).alias("start"), F.octet_length("payload").cast("long").alias("size"), "payload")
 
 
 def limited(parts: DataFrame, maximum: int) -> DataFrame:

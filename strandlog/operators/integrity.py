@@ -8,6 +8,7 @@ only the building of a chain is sequential in an archive, and it streams.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,6 +67,33 @@ def fold_chain(records: DataFrame, digest: str = "digest") -> DataFrame:
     return records.repartition("archive_id").sortWithinPartitions("archive_id", "position").mapInArrow(run, schema)
 
 
+def fold_records(records: DataFrame) -> DataFrame:
+    """Adds prev_hash and hash as archives store them: SHA-256 of the envelope, which holds the previous hash and its own CRC, and the payload.
+
+    records: archive_id, position (the sequence number), record_type, stream_id, start_ns, end_ns, payload; no flags. One streamed pass over each archive.
+    """
+    from ..sources.archive import encode_envelope
+
+    names = records.columns
+    used = ("archive_id", "position", "record_type", "stream_id", "start_ns", "end_ns", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, last = None, b""
+        for batch in batches:
+            previous, own = [], []
+            for a, k, kind, stream, start, end, payload in zip(*(batch.column(c).to_pylist() for c in used), strict=True):
+                if a != archive:
+                    archive, last = a, bytes(32)
+                previous.append(last.hex())
+                payload = payload or b""
+                last = hashlib.sha256(encode_envelope(kind, 0, len(payload), k, uuid.UUID(stream).bytes, start, end, last) + payload).digest()
+                own.append(last.hex())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(previous, pa.string()), pa.array(own, pa.string())], [*names, "prev_hash", "hash"])
+
+    schema = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in names) + ", prev_hash string, hash string"
+    return records.repartition("archive_id").sortWithinPartitions("archive_id", "position").mapInArrow(run, schema)
+
+
 def with_previous(records: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the value that `column` has in the record before, by an equi-join on position; null for the first."""
     before = records.select("archive_id", (F.col("position") + 1).alias("position"), F.col(column).alias(name))
@@ -181,7 +209,8 @@ def extract_stream(records: DataFrame, record_type: int = model.SOURCE_BYTES) ->
 def joined_bytes(chunks: DataFrame) -> DataFrame:
     """One row for each (archive_id, stream_id) with all bytes in order, for streams that fit into one row."""
     parts = F.array_sort(F.collect_list(F.struct("chunk", "payload")))
-    whole = F.aggregate(parts, F.unhex(F.lit("")), lambda a, x: F.concat(a, x["payload"]))
+    # One join of all parts: adding them up one by one would copy what is there for each.
+    whole = F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x["payload"])), ""))
     return chunks.groupBy("archive_id", "stream_id").agg(whole.alias("payload"))
 
 

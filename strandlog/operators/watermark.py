@@ -104,6 +104,11 @@ def embed(audio: Audio, code: int, band: str = "W1", policy: Policy = Policy())
     return Audio(audio.sample_rate, audio.channels, out), repeats
 
 
+def accepts(value: int) -> bool:
+    """Whether a read message has at most two wrong bits in its preamble and a CRC that fits its code (scalars.accepted as a column)."""
+    return ((value >> 24) ^ PREAMBLE).bit_count() <= 2 and value & 0xFF == crc8(value >> 8 & 0xFFFF)
+
+
 def powers(mono: np.ndarray, offsets: np.ndarray, size: int, frequency: float, rate: int) -> np.ndarray:
     """Power at one frequency of the windows of `size` samples at all offsets, sample after sample."""
     k = 2.0 * math.cos(2.0 * math.pi * frequency / rate)
@@ -140,9 +145,9 @@ def detect(audio: Audio, policy: Policy = Policy()) -> list[dict]:
         kept: dict[int, list[int]] = {}
         for i in np.flatnonzero(confidence >= policy.minimum_confidence).tolist():
             value = int(packed[i])
-            code, wrong = value >> 8 & 0xFFFF, ((value >> 24) ^ PREAMBLE).bit_count()
-            if wrong > 2 or value & 0xFF != crc8(code):
+            if not accepts(value):
                 continue
+            code, wrong = value >> 8 & 0xFFFF, ((value >> 24) ^ PREAMBLE).bit_count()
             start = int(starts[i])
             if all(abs(start - s) >= spb for s in kept.setdefault(code, [])):
                 kept[code].append(start)
@@ -265,6 +270,11 @@ def greedy_dedupe(found: DataFrame, distance: int) -> DataFrame:
     return found.repartition(*keys).sortWithinPartitions(*keys, "ordinal").mapInArrow(run, schema)
 
 
+def confirmation_hops(observations: DataFrame) -> DataFrame:
+    """How often each (audio_id, band, code) was observed."""
+    return observations.groupBy("audio_id", "band", "code").agg(F.count("*").alias("confirmation_hops"))
+
+
 def fuse(observations: DataFrame, statements: DataFrame) -> DataFrame:
     """Evidence rows: hops of equal (band, code) in a clip, joined with the clip's statement.
 
@@ -272,8 +282,7 @@ def fuse(observations: DataFrame, statements: DataFrame) -> DataFrame:
     signature-bound candidate with a valid statement of its code and three hops or more; nothing is ever authoritative.
     """
     # Counts are aggregated before they are joined, so that a clip of many marks is no single task.
-    hops = observations.groupBy("audio_id", "band", "code").agg(F.count("*").alias("confirmation_hops"))
-    df = observations.join(hops, ["audio_id", "band", "code"]).join(statements, "audio_id", "left")
+    df = observations.join(confirmation_hops(observations), ["audio_id", "band", "code"]).join(statements, "audio_id", "left")
     bound = F.coalesce((F.col("statement_state") == "valid") & (F.col("acoustic_code") == F.col("code")), F.lit(False))
     return df.select(
         "audio_id", "band", "code", "confidence", "start_frame", "end_frame", "confirmation_hops",

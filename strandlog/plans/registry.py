@@ -211,16 +211,21 @@ def extract_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {RECORDS_SQL} SELECT archive_id, stream_id, position AS chunk, sha256(payload) AS digest FROM r WHERE record_type = 2 AND stream_id IN (SELECT DISTINCT {_stream_sql("event_type || chr(10) || CAST(user_id AS VARCHAR)")} FROM events WHERE event_type = (SELECT min(event_type) FROM events))"
+    f"""SELECT 'feeds' AS archive_id, {_stream_sql("event_type || chr(10) || 'https://feeds.example/' || event_type")} AS stream_id, event_id AS chunk, sha256(coalesce(props, '')) AS digest
+    FROM events WHERE event_type = (SELECT min(event_type) FROM events)"""
 )
 def extract_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All chunks of the feeds of one label: descriptors are joined with source records on the stream, descriptors being the small side if Spark finds them so."""
-    records = event_records(spark, sf_dir).withColumn("sequence", F.col("position"))
+    """All chunks of one label's feed: an archive of descriptors for all types of events, whose records are their feeds' bytes."""
+    feeds = _feed_rows(spark, sf_dir)
     e = table(spark, sf_dir, "events")
-    label = e.agg(F.min("event_type").alias("label"))
-    feeds = e.select("event_type", "user_id").distinct().join(F.broadcast(label), F.col("event_type") == F.col("label"))
-    streams = feeds.select(scalars.derive_stream_id(F.concat_ws("\n", "event_type", F.col("user_id").cast("string"))).alias("stream_id"))
-    return integrity.extract_stream(records).join(streams, "stream_id").select("archive_id", "stream_id", "chunk", F.sha2("payload", 256).alias("digest"))
+    names = ["archive_id", "sequence", "record_type", "stream_id", "payload"]
+    described = feeds.select(F.lit("feeds"), F.lit(0).cast("long"), F.lit(model.FEED_DESCRIPTOR), "stream_id", F.unhex("descriptor")).toDF(*names)
+    uri = F.concat(F.lit("https://feeds.example/"), F.col("event_type"))
+    stored = e.select(F.lit("feeds"), "event_id", F.lit(model.SOURCE_BYTES), scalars.derive_stream_id(F.concat_ws("\n", "event_type", uri)), F.coalesce("props", F.lit("")).cast("binary")).toDF(*names)
+    label = e.agg(F.min("event_type").alias("label")).first()["label"]
+    if label is None:
+        return spark.createDataFrame([], "archive_id string, stream_id string, chunk long, digest string")
+    return integrity.extract_feed(described.unionAll(stored), label).select("archive_id", "stream_id", "chunk", F.sha2("payload", 256).alias("digest"))
 
 
 # Capture
@@ -391,7 +396,7 @@ def statement_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OBS_SQL} SELECT audio_id, band, code, count(*) AS confirmation_hops FROM o GROUP BY audio_id, band, code")
 def confirmation_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(spark, sf_dir).groupBy("audio_id", "band", "code").agg(F.count("*").alias("confirmation_hops"))
+    return watermark.confirmation_hops(_observations(spark, sf_dir))
 
 
 @query(
@@ -419,15 +424,22 @@ def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, bit_count(xor((event_id * 31) % 65536, 54695)) AS corrected, bit_count(xor((event_id * 31) % 65536, 54695)) <= 6 AND event_id % 3 = 0 AND value >= 0.30 AS accepted FROM events"""
+    f"""SELECT event_id, bit_count(xor(value >> 24, 54695::BIGINT)) AS corrected, bit_count(xor(value >> 24, 54695::BIGINT)) <= 2 AND value & 255 = {_CRC_SQL} AND confidence >= 0.30 AS accepted
+    FROM (SELECT event_id, confidence, value, (value >> 8) & 65535 AS code FROM (SELECT event_id, confidence, xor(xor((54695::BIGINT << 24) | (code << 8) | {_CRC_SQL}, (event_id % 16) << 26), CASE WHEN event_id % 5 = 0 THEN 1 << (event_id % 24) ELSE 0 END) AS value
+    FROM (SELECT event_id, value AS confidence, CAST(event_id * 40503 % 65536 AS BIGINT) AS code FROM events)))"""
 )
 def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detector's test on values of the table; six bits stand for its two, so that some pass."""
-    corrected = scalars.hamming16(((F.col("event_id") * 31) % 65536).cast("int"), F.lit(scalars.PREAMBLE))
-    return table(spark, sf_dir, "events").select("event_id", corrected.alias("corrected"), ((corrected <= 6) & (F.col("event_id") % 3 == 0) & (F.col("value") >= 0.30)).alias("accepted"))
+    """The detector's test on messages of which some preambles, codes and CRCs have wrong bits, with the table's values as confidences."""
+    i = F.col("event_id")
+    sent = scalars.message((i * 40503 % 65536).cast("long"))
+    wrong = F.when(i % 5 == 0, F.expr("shiftleft(1L, cast(event_id % 24 as int))")).otherwise(F.lit(0).cast("long"))
+    read = sent.bitwiseXOR(F.shiftleft(i % 16, 26)).bitwiseXOR(wrong)
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("confidence"), read.alias("read"))
+    corrected = scalars.hamming16(F.shiftright("read", 24).cast("int"), F.lit(scalars.PREAMBLE))
+    return e.select("event_id", corrected.alias("corrected"), scalars.accepted(F.col("read"), F.col("confidence")).alias("accepted"))
 
 
-# Whole paths through the byte formats; SQL cannot express them
+# Whole paths through the byte formats
 
 
 def _conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,7 +450,45 @@ def _conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _le_sql(value: str, size: int) -> str:
+    """Little-endian hexadecimal of a number below 2 ** 32."""
+    known = ", ".join(f"({value} >> {8 * k}) % 256" for k in range(min(size, 4)))
+    return f"(printf('{'%02x' * min(size, 4)}', {known})" + (f" || '{'00' * (size - 4)}')" if size > 4 else ")")
+
+
+_CRC_TABLE_SQL = f"crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0x82F63B78}) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(0, 256)) AS i)))"
+
+
+def _crc32c_sql(digits: str) -> str:
+    """CRC-32C of bytes given in lower-case hexadecimal, by the list crc.t."""
+    digit = lambda k: f"instr('0123456789abcdef', substr({digits}, 2 * i + {k}, 1)) - 1"
+    read = f"list_transform(range(0, CAST(length({digits}) // 2 AS BIGINT)), lambda i: ({digit(1)}) * 16 + {digit(2)})"
+    return f"xor(list_reduce(list_prepend(4294967295, {read}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+_CONVERSATIONS_SQL = f"""c AS (SELECT CAST(conv_id % 16 AS VARCHAR) AS archive_id, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) - 1 AS sequence, turn, {_stream_sql("CAST(conv_id AS VARCHAR)")} AS stream_id,
+  lower(hex(encode(coalesce(text, '')))) AS payload FROM conversations),
+l AS (SELECT *, length(payload) // 2 AS payload_size, 64 + coalesce(sum(136 + length(payload) // 2) OVER (PARTITION BY archive_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS file_offset FROM c)"""
+
+# Each record's hash needs the one before it, so the query walks the sequence numbers.
+_BODY_SQL = f"'43445231' || '02000000' || '60000000' || {_le_sql('payload_size', 8)} || {_le_sql('sequence', 8)} || replace(stream_id, '-', '') || {_le_sql('turn', 8)} || {_le_sql('(turn + 1)', 8)}"
+_HASHED_SQL = f"sha256(unhex(body || {_le_sql(_crc32c_sql('body'), 4)} || payload))"
+_CHAINED_SQL = f"""{_CONVERSATIONS_SQL}, {_CRC_TABLE_SQL}, e AS (SELECT archive_id, sequence, payload, {_BODY_SQL} AS head FROM l),
+chain(archive_id, sequence, prev_hash, hash) AS (SELECT archive_id, sequence, repeat('0', 64), {_HASHED_SQL} FROM (SELECT *, head || repeat('0', 64) AS body FROM e WHERE sequence = 0), crc
+  UNION ALL SELECT archive_id, sequence, before, {_HASHED_SQL} FROM (SELECT e.archive_id, e.sequence, e.payload, chain.hash AS before, e.head || chain.hash AS body FROM chain JOIN e ON e.archive_id = chain.archive_id AND e.sequence = chain.sequence + 1), crc)"""
+
+
+@query(f"WITH RECURSIVE {_CHAINED_SQL} SELECT archive_id, sequence, prev_hash, hash FROM chain")
+def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes that archives of all conversations store."""
+    records = _conversation_records(spark, sf_dir).withColumnRenamed("sequence", "position")
+    return integrity.fold_records(records).select("archive_id", F.col("position").alias("sequence"), "prev_hash", "hash")
+
+
+@query(
+    f"""WITH {_CONVERSATIONS_SQL}, n AS (SELECT archive_id, count(*) AS n, sum(payload_size) AS b, length('{{"format":"{model.INDEX_FORMAT}","records":[' || string_agg('{{"sequence":' || sequence || ',"offset":' || CAST(file_offset AS BIGINT) || ',"type":2,"stream":"' || stream_id || '","bytes":' || payload_size || '}}', ',') || ']}}') AS i FROM l GROUP BY archive_id)
+    SELECT archive_id, true AS ok, true AS finalized, n + 1 AS committed_records, CAST(b + i AS BIGINT) AS verified_payload_bytes, CAST(64 + b + i + 136 * (n + 1) AS BIGINT) AS valid_prefix_bytes, CAST(64 + b + i + 136 * (n + 1) AS BIGINT) AS file_bytes, 'ok' AS error_code, '{model.MESSAGES["finalized"]}' AS message FROM n"""
+)
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as archives of the byte format, scanned again and verified."""
     from ..sources import archive
@@ -448,7 +498,7 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.verify(spark, paths).withColumn("archive_id", F.regexp_extract("archive_id", r"([^/]*)\.arc$", 1))
 
 
-@query()
+@query("SELECT CAST(vec_id AS VARCHAR) AS audio_id, 'W1' AS band, CAST(vec_id * 40503 % 65536 AS INTEGER) AS code, 0::BIGINT AS start_frame, 38400::BIGINT AS end_frame, 0 AS corrected_preamble_bits, 0 AS ordinal, true AS confident, 'ok' AS error_code FROM embeddings")
 def watermark_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks embedded in clips of one tone each, a clip for every row of embeddings by its id, and detected again."""
     import numpy as np
@@ -466,10 +516,14 @@ def watermark_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = table(spark, sf_dir, "embeddings").select("vec_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(clips, "audio_id string, wav binary, code int")
     policy = watermark.Policy(amplitude_dbfs=-32.0)
-    return watermark.detect_all(watermark.embed_all(made, "W1", policy), policy)
+    found = watermark.detect_all(watermark.embed_all(made, "W1", policy), policy)
+    return found.withColumn("confident", F.col("confidence") >= policy.minimum_confidence).drop("confidence")
 
 
-@query()
+@query(
+    """SELECT CAST(s_suppkey AS VARCHAR) AS statement_id, CASE WHEN 1500 < not_before THEN 'not_yet_valid' WHEN 1500 > expires_at THEN 'expired' ELSE 'valid' END AS statement_state, 'feed-' || s_suppkey AS feed_uuid, CAST(s_suppkey % 65536 AS INTEGER) AS acoustic_code,
+    1000::BIGINT AS issued_at, not_before, expires_at, s_name AS issuer, 'test-key' AS key_id, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, 1000 + s_suppkey % 700 AS not_before, 2100 + s_suppkey % 900 AS expires_at FROM supplier)"""
+)
 def statement_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements for the suppliers, signed with a fixed test key and verified on executors."""
     import pyarrow as pa
@@ -489,14 +543,14 @@ def statement_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.verify_all(cose, identity.public_of(seed), 1500)
 
 
-@query()
+@query(f"WITH {_CRC_TABLE_SQL}, p AS (SELECT conv_id, turn, lower(hex(encode(text))) AS h FROM conversations) SELECT conv_id, turn, {_crc32c_sql('h')} AS crc32c FROM p, crc")
 def crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import archive
 
     return archive.crc32c_column(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("payload")), "payload").drop("payload")
 
 
-@query()
+@query(ORACLE_SQL["hash_chain"])
 def chain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' chain built by a stream: state of each archive is its next sequence and last hash."""
     from ..streaming.archives import chain
@@ -517,7 +571,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query()
+@query(f"WITH RECURSIVE {_CHAINED_SQL} SELECT archive_id, sequence AS position, sequence, 2 AS record_type, stream_id, CAST(payload_size AS BIGINT) AS payload_size, CAST(file_offset AS BIGINT) AS file_offset, hash FROM l JOIN chain USING (archive_id, sequence)")
 def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, written as archives that are not finalized and followed to their ends as one stream of verified records."""
     from ..sources import archive

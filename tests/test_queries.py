@@ -67,3 +67,26 @@ def test_tail_stream_follows_every_archive_to_its_end(spark):
 def test_watermark_roundtrip_makes_a_clip_of_every_row(spark):
     ids = {str(r["vec_id"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
     assert {r["audio_id"] for r in registry.watermark_roundtrip(spark, SF).select("audio_id").collect()} == ids
+
+
+def test_record_hashes_are_those_that_archives_store(spark):
+    stored = {(r["archive_id"], r["sequence"]): r["hash"] for r in registry.tail_stream(spark, SF).collect()}
+    assert {(r["archive_id"], r["sequence"]): r["hash"] for r in registry.record_hashes(spark, SF).collect()} == stored
+
+
+def test_acceptance_is_the_detectors_own(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandlog.functions import scalars
+    from strandlog.operators import watermark
+
+    rng = random.Random(3)
+    values = [rng.randrange(1 << 40) for _ in range(200)]
+    for code in (0, 1, 0x4A31, 0xFFFF):
+        sent = int("".join(map(str, watermark.bits_of(code))), 2)
+        values += [sent ^ m for m in (0, 1, 1 << 24, 3 << 30, 7 << 30, 1 << 9)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    got = df.select("v", scalars.accepted(F.col("v"), F.lit(0.5)).alias("a"), scalars.accepted(F.col("v"), F.lit(0.2)).alias("b")).collect()
+    assert all(r["a"] == watermark.accepts(r["v"]) and not r["b"] for r in got) and any(r["a"] for r in got)
