@@ -171,7 +171,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         F.col("doc_id").alias("id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.unhex(F.coalesce(F.md5("text"), F.md5(F.concat_ws(":", F.lit("null"), F.col("doc_id").cast("string"))))).alias("group"),
+        # A null text's group is a byte longer than any text's.
+        F.unhex(F.coalesce(F.md5("text"), F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit("00")))).alias("group"),
         F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("label"),
     )
     return ranked(rows, shards, rounds).withColumnRenamed("id", "doc_id")

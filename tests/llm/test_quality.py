@@ -50,3 +50,31 @@ def test_junk_scores_lower(spark, table):
 def test_target_counts_every_trusted_document(spark):
     docs = spark.range(20_500).selectExpr("id as doc_id", "concat('w', id, ' and') as text")
     assert not quality.ratios(docs, docs.select("doc_id")).any()
+
+
+def buckets_of(text):
+    import pyarrow as pa
+
+    *_, row, h = quality._hashed(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]))
+    return quality._features(h, row)[0].tolist()
+
+
+def test_ratios_and_verdicts_against_plain_sums(spark, table, odd_rows):
+    import math
+    import random
+
+    rng = random.Random(6)
+    rows = odd_rows + [(200 + k, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 60)))) for k in range(60)]
+    trusted = {200, 203, 209, 230, 5, 6}
+    words = {k: buckets_of(t or "") for k, (_, t) in enumerate(rows)}
+    raw = Counter(b for w in words.values() for b in w)
+    target = Counter(b for k, w in words.items() if rows[k][0] in trusted for b in w)
+    log = lambda c, b: math.log((c[b] + quality.SMOOTHING) / (sum(c.values()) + quality.SMOOTHING * quality.BUCKETS))
+    expected = sorted([(i, round(sum(log(target, b) - log(raw, b) for b in words[k]) / max(len(words[k]), 1), 9)) for k, (i, _) in enumerate(rows)], key=repr)
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    found = quality.score(table(rows), ids).collect()
+    assert sorted([(r["doc_id"], round(r["llr"], 9)) for r in found], key=repr) == expected
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD) for r in found)
+    # At the threshold itself a document stays.
+    edge = sorted(r["llr"] for r in found if not r["base_failed"])[5]
+    assert {r["doc_id"] for r in quality.score(table(rows), ids, edge).collect() if r["kept"]} == {r["doc_id"] for r in found if not r["base_failed"] and r["llr"] >= edge}
