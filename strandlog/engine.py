@@ -47,17 +47,17 @@ def descriptor(feed: Feed) -> bytes:
     return model.DESCRIPTOR_MAGIC + sizes + label + uri
 
 
-def record(feeds: list[Feed], path: str, chunk_bytes: int = capture.CHUNK_BYTES, deny_private: bool = True, clock=time.time_ns) -> dict[str, object]:
-    """Feeds one after the other into a new archive. Sources are opened first; after a failure the archive stays without an index."""
-    capture.check_config(chunk_bytes)
-    require(bool(feeds), "invalid_argument", "at least one feed is required")
+def record(feeds: list[Feed], path: str, chunk_bytes: int = capture.CHUNK_BYTES, feed_bytes: int = capture.FEED_BYTES, deny_private: bool = True, clock=time.time_ns) -> dict[str, object]:
+    """Feeds one after the other into a new archive, each up to the lesser of its own limit and feed_bytes. Sources are opened first; after a failure the archive stays without an index."""
+    capture.check_config(chunk_bytes, feed_bytes)
+    require(bool(feeds), "invalid_argument", "there is no feed to record")
     seen: set[str] = set()
     for f in feeds:
         good = re.fullmatch(r"[\x21-\x3c\x3e-\x7e]{1,128}", f.label)
-        require(bool(good) and bool(f.uri) and f.preserve_source and f.maximum_bytes > 0, "invalid_argument", "invalid feed specification")
-        require(f.label not in seen, "invalid_argument", "feed labels must be unique")
+        require(bool(good) and bool(f.uri) and f.preserve_source and f.maximum_bytes > 0, "invalid_argument", "a feed needs a label, a source that is preserved, and a limit")
+        require(f.label not in seen, "invalid_argument", "two feeds have one label")
         seen.add(f.label)
-    sources = [Prepared(f.uri, f.maximum_bytes, deny_private) for f in feeds]
+    sources = [Prepared(f.uri, min(f.maximum_bytes, feed_bytes), deny_private) for f in feeds]
     writer = archive.ArchiveWriter(path, clock())
     done = {"archive": path, "feeds_recorded": 0, "source_bytes": 0, "source_records": 0}
     try:

@@ -131,6 +131,33 @@ def routable_ipv4(number: Column) -> Column:
     return ~out
 
 
+def ipv6_groups(address: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address given as text (with or without '::', a zone or a dotted IPv4 end); null if it is none."""
+    text = F.lower(F.regexp_replace(address, "%.*$", ""))
+    tail = F.regexp_extract(text, r"(?:^|:)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    parts = F.transform(F.split(tail, r"\."), lambda x: x.try_cast("int"))
+    dotted = F.concat(F.format_string("%x", F.get(parts, F.lit(0)) * 256 + F.get(parts, F.lit(1))), F.lit(":"), F.format_string("%x", F.get(parts, F.lit(2)) * 256 + F.get(parts, F.lit(3))))
+    whole = tail == ""
+    small = F.forall(parts, lambda x: x.between(0, 255))
+    text = F.when(whole, text).when(small, F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(tail)), dotted))
+    fields = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+    cut = F.instr(text, "::")
+    left, right = fields(F.substring_index(text, "::", 1)), fields(F.when(cut > 0, F.substr(text, cut + 2)).otherwise(F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    groups = F.when((cut == 0) & (F.size(left) == 8), left).when((cut > 0) & (missing > 0), F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+    good = F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(good, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("long")))
+
+
+def routable_ipv6(address: Column) -> Column:
+    """Whether an IPv6 address may be connected to: its global range without documentation addresses; a mapped IPv4 address as that one. Null if it is none."""
+    g = ipv6_groups(address)
+    at = lambda k: F.get(g, F.lit(k))
+    mapped = F.forall(F.slice(g, 1, 5), lambda x: x == 0) & (at(5) == 0xFFFF)
+    inside = (F.shiftright(at(0), 13) == 1) & ~((at(0) == 0x2001) & (at(1) == 0xDB8))
+    return F.when(mapped, routable_ipv4(at(6) * 65536 + at(7))).otherwise(inside)
+
+
 def crc8(code: Column) -> Column:
     """Polynomial 0x07, start 0, over the high byte and the low byte of a 16-bit code: long division, bit by bit."""
     step = lambda c, k: F.when(F.shiftright(c, 15).bitwiseAND(1) == 1, F.shiftleft(c, 1).bitwiseXOR(F.lit(0x0700))).otherwise(F.shiftleft(c, 1)).bitwiseAND(0xFFFF)

@@ -42,8 +42,32 @@ STATUSES = {
     "resource_exhausted": "RESOURCE_EXHAUSTED",
 }
 
-STREAM_TYPES = ["audio", "video", "image", "text", "telemetry", "sensor", "event", "log", "market_data", "network", "location", "biometric", "control", "composite", "unknown"]
-TRUTH_CLASSES = {"S0": "source", "S1": "reconstructed", "D": "derived"}
+# Stream types and truth classes by number.
+STREAM_TYPES = {
+    0: "opaque",
+    1: "audio",
+    2: "video",
+    3: "image",
+    4: "telemetry",
+    5: "sensor",
+    6: "navigation",
+    7: "document_event",
+    8: "network_system",
+    9: "model_artifact",
+    10: "identity_evidence",
+    11: "recovery",
+    12: "audit",
+    13: "authorization_policy",
+    65534: "custom",
+}
+TRUTH_CLASSES = {0: "source_exact", 1: "state_exact", 2: "derived"}
+
+#: What is known of a stream besides its bytes: descriptor, clock and epoch.
+STREAMS = (
+    "stream_id string, stream_type int, label string, source_id string, payload_type string, "
+    "clock struct<monotonic_ns: long, utc_ns: long, utc_uncertainty_ns: long, source_timestamp: long, timebase_numerator: long, timebase_denominator: long>, "
+    "epoch struct<connection: long, format: long>"
+)
 
 #: A verified or candidate record as the archive source gives it.
 RECORDS = (
@@ -79,6 +103,14 @@ def record_type_name(column: Column) -> Column:
     return name_of(column, RECORD_TYPES)
 
 
+def stream_type_name(column: Column) -> Column:
+    return name_of(column, STREAM_TYPES)
+
+
+def truth_class_name(column: Column) -> Column:
+    return name_of(column, TRUTH_CLASSES)
+
+
 def record_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RECORD_TYPES.items()), "record_type int, record_type_name string")
 

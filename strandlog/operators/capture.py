@@ -15,7 +15,7 @@ MOST_REDIRECTS = 20
 
 
 def check_config(chunk_bytes: int = CHUNK_BYTES, feed_bytes: int = FEED_BYTES, redirects: int = 5) -> None:
-    require(LEAST_CHUNK <= chunk_bytes <= MOST_CHUNK and feed_bytes > 0 and 0 <= redirects <= MOST_REDIRECTS, "invalid_argument", "invalid engine capture limits")
+    require(LEAST_CHUNK <= chunk_bytes <= MOST_CHUNK and feed_bytes > 0 and 0 <= redirects <= MOST_REDIRECTS, "invalid_argument", "a capture limit is out of its range")
 
 
 def chunks(feeds: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -33,8 +33,12 @@ def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, b
 
 
 def positions(df: DataFrame, key: str, order: str, name: str = "position", block: int = BLOCK) -> DataFrame:
-    """Dense numbers from 0 in each key, by the integer `order`, which need not be dense: counts of blocks first, then numbers inside blocks."""
-    df = df.withColumn("_b", F.expr(f"{order} div {block}"))
+    """Dense numbers from 0 in each key, by the integer `order`, which need not be dense: counts of blocks first, then numbers inside blocks.
+
+    A key's blocks are as many equal ranges of its orders as it has rows for, so sparse orders (times, say) make no more blocks than dense ones.
+    """
+    spread = df.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.ceil(F.count("*") / block).alias("_parts"))
+    df = df.join(spread, key).withColumn("_b", F.expr(f"({order} - _lo) div ((_hi - _lo) div _parts + 1)")).drop("_lo", "_hi", "_parts")
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = df.groupBy(key, "_b").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy(order)) - 1
@@ -194,7 +198,7 @@ def feeds(records: DataFrame, strict_decoding: bool = True) -> DataFrame:
     """Decoded feed descriptors in sequence order; an undecodable one is an error."""
     own = records.filter(F.col("record_type") == model.FEED_DESCRIPTOR).withColumn("feed", scalars.decode_feed_descriptor(F.col("payload")))
     if strict_decoding and not own.filter("feed is null").isEmpty():
-        raise EngineError("archive_corrupt", "invalid feed descriptor")
+        raise EngineError("archive_corrupt", "a feed descriptor cannot be decoded")
     return own.select("archive_id", "sequence", "stream_id", "feed.label", "feed.uri", "feed.preserve_source", F.lit("S0").alias("fidelity"))
 
 
@@ -218,9 +222,9 @@ def feed_stream(feed_rows: DataFrame, label: str) -> str:
     """The one stream that a label names."""
     found = [r["stream_id"] for r in feed_rows.filter(F.col("label") == label).select("stream_id").distinct().limit(2).collect()]
     if len(found) > 1:
-        raise EngineError("archive_corrupt", "duplicate feed label maps to multiple streams")
+        raise EngineError("archive_corrupt", "several streams have this label")
     if not found:
-        raise EngineError("invalid_argument", f"feed label not found: {label}")
+        raise EngineError("invalid_argument", f"no feed is labelled {label}")
     return found[0]
 
 

@@ -86,13 +86,13 @@ def bits_of(code: int) -> list[int]:
 
 def embed(audio: Audio, code: int, band: str = "W1", policy: Policy = Policy()) -> tuple[Audio, int]:
     """Marked audio and the number of frames embedded. The tail that holds no whole frame stays as it was."""
-    require(policy.basics() and policy.finite(), "invalid_argument", "invalid watermark policy")
-    require(policy.bands_safe(), "watermark_path_unqualified", "watermark policy violates mandatory W1/W2 band safety constraints")
-    require(qualified(audio, band, policy), "watermark_path_unqualified", "W2 requires at least 96 kHz and a guarded passband above 24 kHz" if band == "W2" else "W1 carrier exceeds the guarded Nyquist limit")
+    require(policy.basics() and policy.finite(), "invalid_argument", "watermark policy is out of range")
+    require(policy.bands_safe(), "watermark_path_unqualified", "tones leave the bands that are allowed")
+    require(qualified(audio, band, policy), "watermark_path_unqualified", "sample rate is too low for band W2" if band == "W2" else "sample rate is too low for band W1")
     spb = audio.sample_rate * policy.bit_duration_ms // 1000
-    require(spb >= 16, "invalid_argument", "watermark bit window is too short")
+    require(spb >= 16, "invalid_argument", "a bit has too few samples")
     repeats = audio.frames() // (spb * MESSAGE_BITS)
-    require(repeats > 0, "invalid_argument", "audio is shorter than one watermark frame")
+    require(repeats > 0, "invalid_argument", "audio holds no whole frame")
     n = repeats * spb * MESSAGE_BITS
     tones = np.array(policy.tones(band))
     frequency = np.repeat(np.tile(tones[bits_of(code)], repeats), spb)
@@ -121,9 +121,9 @@ def powers(mono: np.ndarray, offsets: np.ndarray, size: int, frequency: float, r
 def detect(audio: Audio, policy: Policy = Policy()) -> list[dict]:
     """Observations in the order in which phases find them; of several nearby ones the first found stays."""
     sound = audio.channels > 0 and audio.sample_rate > 0 and len(audio.samples) % max(audio.channels, 1) == 0
-    require(sound and policy.basics() and policy.bands_safe() and 0 <= policy.minimum_confidence <= 1, "invalid_argument", "invalid PCM16 audio or watermark policy")
+    require(sound and policy.basics() and policy.bands_safe() and 0 <= policy.minimum_confidence <= 1, "invalid_argument", "audio or policy is out of range")
     spb = audio.sample_rate * policy.bit_duration_ms // 1000
-    require(spb >= 16, "invalid_argument", "watermark bit window is too short")
+    require(spb >= 16, "invalid_argument", "a bit has too few samples")
     frame = spb * MESSAGE_BITS
     mono = audio.samples.reshape(-1, audio.channels).astype(float).sum(axis=1) / audio.channels
     out: list[dict] = []
@@ -182,7 +182,7 @@ def read_wav(data: bytes) -> Audio:
 
 
 def write_wav(audio: Audio) -> bytes:
-    require(audio.sample_rate > 0 and audio.channels > 0 and len(audio.samples) % audio.channels == 0, "invalid_argument", "invalid PCM16 audio")
+    require(audio.sample_rate > 0 and audio.channels > 0 and len(audio.samples) % audio.channels == 0, "invalid_argument", "audio has no whole PCM16 frames")
     size = 2 * len(audio.samples)
     require(size + 36 <= 0xFFFFFFFF, "resource_exhausted", "audio is too large for WAV")
     align = 2 * audio.channels

@@ -362,7 +362,7 @@ def write_archives(rows: DataFrame, directory: str, created_ns: int = 0, finaliz
 
 def repair(spark: SparkSession, source: str, destination: str, created_ns: int | None = None) -> dict[str, int]:
     """The verified prefix of `source`, without index records, as a new archive. The source is not touched."""
-    require(source != destination, "invalid_argument", "repair destination must differ from source")
+    require(source != destination, "invalid_argument", "an archive cannot be repaired into itself")
     open_archive(source)
     size = os.stat(source).st_size
     checks = scan(spark, [source])

@@ -54,7 +54,7 @@ def _checked(connection: type):
         def connect(self) -> None:
             for *_, address in socket.getaddrinfo(self.host, self.port, type=socket.SOCK_STREAM):
                 if not routable(address[0]):
-                    raise EngineError("unauthorized_source", "resolved HTTP target is not globally routable")
+                    raise EngineError("unauthorized_source", "the host resolves to an address that is not public")
             self._create_connection = lambda pair, *a, **b: self._dial(pair)
             super().connect()
 
@@ -62,7 +62,7 @@ def _checked(connection: type):
             s = socket.create_connection(pair, CONNECT_SECONDS)
             if not routable(s.getpeername()[0]):
                 s.close()
-                raise EngineError("unauthorized_source", "resolved HTTP target is not globally routable")
+                raise EngineError("unauthorized_source", "the host resolves to an address that is not public")
             s.settimeout(None)
             return s
 
@@ -93,7 +93,7 @@ def _open_http(uri: str, deny_private: bool) -> BinaryIO:
     except urllib.error.HTTPError as e:
         raise EngineError("network" if e.code >= 400 else "protocol", f"HTTP status {e.code}", e.code >= 400) from e
     except (urllib.error.URLError, OSError) as e:
-        raise EngineError("network", f"HTTP capture failed: {e}", True) from e
+        raise EngineError("network", f"cannot fetch: {e}", True) from e
     if not 200 <= answer.status < 300:
         raise EngineError("protocol", f"HTTP status {answer.status}")
     return answer
@@ -106,7 +106,7 @@ class Prepared:
         require(bool(uri) and maximum_bytes > 0, "invalid_argument", "capture needs a source and a limit")
         self.uri, self.maximum, self.deny, self.file = uri, maximum_bytes, deny_private, None
         if uri.startswith(("http://", "https://")):
-            require(not (deny_private and private_host(uri)), "unauthorized_source", "private network targets are denied")
+            require(not (deny_private and private_host(uri)), "unauthorized_source", "the host is private")
             return
         if uri == "-":
             self.file = os.fdopen(os.dup(sys.stdin.fileno()), "rb", 0)
@@ -127,9 +127,9 @@ class Prepared:
                 try:
                     data = source.read(size)
                 except OSError as e:
-                    raise EngineError("archive_io", f"capture source read failed: {e}") from e
+                    raise EngineError("archive_io", f"cannot read source: {e}") from e
                 if not data:
                     return
                 total += len(data)
-                require(total <= self.maximum, "resource_exhausted", "capture exceeded the feed byte limit")
+                require(total <= self.maximum, "resource_exhausted", "the feed is over its limit")
                 yield data

@@ -90,3 +90,47 @@ def test_acceptance_is_the_detectors_own(spark):
     df = spark.createDataFrame([(v,) for v in values], "v long")
     got = df.select("v", scalars.accepted(F.col("v"), F.lit(0.5)).alias("a"), scalars.accepted(F.col("v"), F.lit(0.2)).alias("b")).collect()
     assert all(r["a"] == watermark.accepts(r["v"]) and not r["b"] for r in got) and any(r["a"] for r in got)
+
+
+def test_ipv6_addresses_as_columns_and_in_python_agree(spark):
+    import ipaddress
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandlog.functions import scalars
+    from strandlog.sources import feeds
+
+    rng = random.Random(2)
+    texts = ["::", "::1", "2001:db8::1", "2001:db9::", "fe80::1", "fc00::", "2606:4700::1111", "3fff:ffff::", "4000::", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::ffff:808:808", "64:ff9b::1.2.3.4", "2000::", "1:2:3:4:5:6:7:8"]
+    texts += [str(ipaddress.ip_address(rng.getrandbits(128) >> rng.choice([0, 3, 64]))) for _ in range(60)]
+    texts = [t for t in texts if ":" in t]
+    bad = ["", "x", "1:2:3", "1:2:3:4:5:6:7:8:9", "12345::", "1::2::3", "::256.1.1.1", "1.2.3.4", "1:2:3:4:5:6:7::8"]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "a string")
+    got = {r["a"]: r["r"] for r in df.select("a", scalars.routable_ipv6(F.col("a")).alias("r")).collect()}
+    assert all(got[t] == feeds.routable(t) for t in texts)
+    assert all(got[t] is None for t in bad[:-1])
+
+
+def test_positions_of_sparse_orders(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog.operators import integrity
+
+    rows = [("a", k * k * 10**9) for k in range(300)] + [("b", 5), ("b", -7), ("c", 0)]
+    df = spark.createDataFrame(rows, "archive_id string, order long")
+    got = integrity.positions(df, "archive_id", "order", block=16).collect()
+    for key in "abc":
+        assert [r["position"] for r in sorted((r for r in got if r["archive_id"] == key), key=lambda r: r["order"])] == list(range(sum(k == key for k, _ in rows)))
+    assert df.select(F.col("order")).count() == len(got)
+
+
+def test_names_of_streams(spark):
+    from pyspark.sql import functions as F
+
+    from strandlog import model
+
+    df = spark.createDataFrame([(k,) for k in (0, 6, 13, 65534, 99)], "k int")
+    assert [r[0] for r in df.select(model.stream_type_name(F.col("k"))).collect()] == ["opaque", "navigation", "authorization_policy", "custom", "unknown"]
+    assert [r[0] for r in df.select(model.truth_class_name(F.col("k"))).collect()][0] == "source_exact"
+    assert spark.createDataFrame([], model.STREAMS).columns[0] == "stream_id"
