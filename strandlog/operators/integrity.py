@@ -144,18 +144,35 @@ def message_of(failure: Column, finalized: Column) -> Column:
     return out
 
 
+def verified_sums(checks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What each archive's records before its first failure add up to, and that failure, in one pass over the records.
+
+    Blocks of positions are summed up to their own first failures; then the blocks up to the first one with a failure.
+    """
+    own = Window.partitionBy("archive_id", "_b")
+    df = checks.withColumn("_b", F.expr(f"position div {block}")).withColumn("_first", F.min(F.when(F.col("failure").isNotNull(), F.col("position"))).over(own))
+    good = F.col("_first").isNull() | (F.col("position") < F.col("_first"))
+    kept = good & (F.col("record_type") != model.FINAL_INDEX)
+    size = F.col("payload_size")
+    blocks = df.groupBy("archive_id", "_b").agg(
+        F.count(F.when(good, 1)).alias("committed_records"),
+        F.sum(F.when(good, size)).alias("verified_payload_bytes"),
+        F.count(F.when(kept, 1)).alias("recovered_records"),
+        F.sum(F.when(kept, size)).alias("recovered_payload_bytes"),
+        F.max_by("record_type", F.when(good, F.col("position"))).alias("_last"),
+        F.min_by("failure", F.when(F.col("failure").isNotNull(), F.col("position"))).alias("failure"),
+    )
+    bad = F.min(F.when(F.col("failure").isNotNull(), F.col("_b"))).over(Window.partitionBy("archive_id"))
+    blocks = blocks.withColumn("_bad", bad).filter(F.col("_bad").isNull() | (F.col("_b") <= F.col("_bad")))
+    sums = [F.sum(c).alias(c) for c in ("committed_records", "verified_payload_bytes", "recovered_records", "recovered_payload_bytes")]
+    return blocks.groupBy("archive_id").agg(*sums, F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col("_b"))).alias("_last"), F.max("failure").alias("failure"))
+
+
 def report(checks: DataFrame, archives: DataFrame) -> DataFrame:
     """One row for each archive of `archives` (archive_id, file_bytes), as in model.REPORT. An archive of a header alone is whole."""
-    failures = first_failures(checks)
-    good = prefix(checks, failures)
-    sums = good.groupBy("archive_id").agg(
-        F.count("*").alias("committed_records"),
-        F.sum("payload_size").alias("verified_payload_bytes"),
-        F.sum(F.col("payload_size") + model.OVERHEAD).alias("_span"),
-        F.max_by("record_type", "position").alias("_last"),
-    )
-    df = archives.join(sums, "archive_id", "left").join(failures.select("archive_id", "failure"), "archive_id", "left")
-    end = F.coalesce("_span", F.lit(0)) + model.HEADER_SIZE
+    df = archives.join(verified_sums(checks), "archive_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    end = zero("verified_payload_bytes") + model.OVERHEAD * zero("committed_records") + model.HEADER_SIZE
     finalized = F.coalesce(F.col("_last") == model.FINAL_INDEX, F.lit(False))
     ok = F.col("failure").isNull() & (end == F.col("file_bytes"))
     failure = F.coalesce("failure", F.when(end != F.col("file_bytes"), F.lit("envelope")))
@@ -163,9 +180,9 @@ def report(checks: DataFrame, archives: DataFrame) -> DataFrame:
         "archive_id",
         ok.alias("ok"),
         finalized.alias("finalized"),
-        F.coalesce("committed_records", F.lit(0)).cast("long").alias("committed_records"),
-        F.coalesce("verified_payload_bytes", F.lit(0)).cast("long").alias("verified_payload_bytes"),
-        end.cast("long").alias("valid_prefix_bytes"),
+        zero("committed_records").alias("committed_records"),
+        zero("verified_payload_bytes").alias("verified_payload_bytes"),
+        end.alias("valid_prefix_bytes"),
         F.col("file_bytes").cast("long").alias("file_bytes"),
         F.when(ok, F.lit("ok")).otherwise(F.lit("archive_corrupt")).alias("error_code"),
         message_of(failure, finalized).alias("message"),
@@ -186,12 +203,12 @@ def repair_plan(checks: DataFrame) -> DataFrame:
     return running_sum(kept, "archive_id", "position", F.lit(1).cast("long"), "sequence_new").withColumn("old_sequence", F.col("sequence")).withColumn("sequence", F.col("sequence_new")).drop("sequence_new")
 
 
-def repair_totals(plan: DataFrame, reports: DataFrame) -> DataFrame:
-    """recovered_records, recovered_payload_bytes and discarded_tail_bytes of each archive."""
-    sums = plan.groupBy("archive_id").agg(F.count("*").alias("recovered_records"), F.sum("payload_size").alias("recovered_payload_bytes"))
-    df = reports.join(sums, "archive_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return df.select("archive_id", zero("recovered_records"), zero("recovered_payload_bytes"), (F.col("file_bytes") - F.col("valid_prefix_bytes")).alias("discarded_tail_bytes"))
+def repair_totals(checks: DataFrame, archives: DataFrame) -> DataFrame:
+    """recovered_records, recovered_payload_bytes (of the verified prefix, without index records) and discarded_tail_bytes of each of `archives` (archive_id, file_bytes)."""
+    df = archives.join(verified_sums(checks), "archive_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    end = zero("verified_payload_bytes") + model.OVERHEAD * zero("committed_records") + model.HEADER_SIZE
+    return df.select("archive_id", zero("recovered_records").alias("recovered_records"), zero("recovered_payload_bytes").alias("recovered_payload_bytes"), (F.col("file_bytes") - end).alias("discarded_tail_bytes"))
 
 
 def feeds(records: DataFrame, strict_decoding: bool = True) -> DataFrame:

@@ -159,8 +159,7 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = damaged(spark, sf_dir)
-    checks = integrity.checked(r)
-    return integrity.repair_totals(integrity.repair_plan(checks), integrity.report(checks, damaged_archives(r)))
+    return integrity.repair_totals(integrity.checked(r), damaged_archives(r))
 
 
 @query(
