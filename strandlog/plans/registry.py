@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import model
+from .. import model, shared
+from ..errors import require
 from ..functions import scalars
 from ..operators import capture, identity, integrity, watermark
 
@@ -32,14 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new local-path folder that the driver and all executors share."""
+    """A new folder that the driver and all executors share, as a path that they open; byte formats are written by path."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlog-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    jvm = sc._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(p)
+    p = sc._jvm.org.apache.hadoop.fs.Path(shared.new_path(spark))
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    require(fs.getScheme() == "file", "archive_io", "archives need a shared folder that every executor has mounted")
+    fs.mkdirs(p)
     return p.toUri().getPath()
 
 
