@@ -23,8 +23,9 @@ from .common import COUNTS, GEAR_FOLDED, SPACE, RollingHash, collect_counts, cou
 BUCKETS = 1 << 16
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.12
-#: Added to every bucket's count.
-SMOOTHING = 1.0
+#: N-grams of the raw corpus that the target counts besides its own, for each bucket: what few trusted documents lack is not
+#: held against others. With many it has no weight.
+PRIOR = 4.0
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -60,15 +61,19 @@ def _count(name: str):
     return run
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
-    """The log ratio of each bucket: all of docs is the raw corpus, those whose doc_id is in `trusted` are the target."""
+def ratios(docs: DataFrame, trusted: DataFrame, prior: float = PRIOR) -> np.ndarray:
+    """The log ratio of each bucket: all of docs is the raw corpus, those whose doc_id is in `trusted` are the target.
+
+    0 for buckets that the raw corpus does not have."""
     target = texts(docs).join(trusted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     both = [df.select("text").mapInArrow(_count(name), COUNTS) for name, df in (("raw", docs), ("target", target))]
     counts = collect_counts(both[0].unionAll(both[1]), BUCKETS)
     if "target" not in counts:
         return np.zeros(BUCKETS)
-    p, q = (np.log((c + smoothing) / (c.sum() + smoothing * BUCKETS)) for c in (counts["target"], counts["raw"]))
-    return p - q
+    target, raw = counts["target"], counts["raw"]
+    q = raw / max(raw.sum(), 1)
+    p = (target + prior * BUCKETS * q) / (target.sum() + prior * BUCKETS)
+    return np.log(p, where=raw > 0, out=np.zeros(BUCKETS)) - np.log(q, where=raw > 0, out=np.zeros(BUCKETS))
 
 
 def _repeated(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:

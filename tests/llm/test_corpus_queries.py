@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from strandlog.llm import queries
+from strandlog.llm import quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,5 +50,9 @@ def test_held_out_accuracy(spark):
     tox = tox[tox.held_out]
     good, bad = tox[tox.toxic == 0].score, tox[tox.toxic == 1].score
     assert len(bad) and sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) > 0.9
-    quality = queries.op8_quality(spark, sf).toPandas().merge(labels, on="doc_id")
-    assert quality[quality.quality == 1].kept.mean() > 0.95 and quality[quality.quality == 0].kept.mean() < 0.1
+    # Half of the trusted documents make the target, the other half and all junk are judged.
+    trusted = spark.createDataFrame([(int(i),) for i in labels[labels.quality == 1].doc_id if i % 2], "doc_id long")
+    found = quality.score(spark.read.parquet(f"{sf}/documents.parquet"), trusted).toPandas().merge(labels, on="doc_id")
+    good, junk = found[(found.quality == 1) & (found.doc_id % 2 == 0)], found[found.quality == 0]
+    good = good[~good.base_failed]  # the method's own verdict
+    assert len(good) > 50 and good.kept.mean() > 0.95 and junk.kept.mean() < 0.1
