@@ -1,8 +1,8 @@
 """The archive byte format: encoding, a verified scan that splits large archives, and an ordered sink.
 
-A scan hops over envelopes on the driver (each envelope's magic, size and CRC are checked before its length is trusted) and
-hands ranges of whole records to tasks, which hash payloads in parallel. Verification is a stage of its own over the rows;
-see operators.integrity.
+A scan hops over envelopes, one task for each archive (each envelope's magic, size and CRC are checked before its length is
+trusted), and deals ranges of whole records to tasks, which hash payloads and judge records in one pass; see
+operators.integrity for what follows from the failures.
 """
 
 from __future__ import annotations
@@ -213,32 +213,60 @@ def read_range(r: _Range) -> Iterator[tuple]:
             position += 1
 
 
+def judged(r: _Range, payloads: bool = True) -> Iterator[tuple]:
+    """Rows of SCHEMA with `failure` for the first rule a record breaks, in the fixed order: bytes, hash, chain, sequence.
+
+    The chain is held against the stored hash of the record before, which a range finds in the trailer that ends where it
+    starts: if that is not the computed one, the record before fails itself. So no range needs another one's rows.
+    """
+    before = integrity.ZERO_HASH
+    if r.offset > model.HEADER_SIZE:
+        with open(r.path, "rb") as f:
+            f.seek(r.offset - model.TRAILER_SIZE + len(model.TRAILER_MAGIC))
+            before = f.read(32).hex()
+    for row in read_range(r):
+        failure = row[15]
+        if failure is None:
+            failure = "sha" if row[14] != row[12] else "chain" if row[11] != before else "sequence" if row[2] != row[1] else None
+        yield (*row[:13], row[13] if payloads else None, row[14], failure)
+        before = row[12]
+
+
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string()]
+
+
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of about 8 MiB."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 300 + len(row[13] or b"")
+        if size > 8 << 20:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], split: int):
-        self.paths, self.split = paths, split
+    """One task for each archive; the driver looks at sizes only."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
     def partitions(self) -> list[InputPartition]:
-        return [r for p in self.paths for r in hop(p, self.split)] or [_Range("", 0, 0, 0)]
+        return [_Range(p, 0, model.HEADER_SIZE, os.stat(p).st_size) for p in self.paths]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string()]
-        held, size = [], 0
-        for row in read_range(partition) if partition.path else ():
-            held.append(row)
-            size += 300 + len(row[13] or b"")
-            if size > 8 << 20:
-                yield _batch(held, types)
-                held, size = [], 0
-        if held:
-            yield _batch(held, types)
-
-
-def _batch(rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
+        return _batches(judged(partition))
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("recordlog").option("path", ...): records with computed hashes, not yet verified. Paths are separated by newlines."""
+    """spark.read.format("recordlog").option("path", ...): every record with its computed hash and `failure`. Paths are separated by newlines; scan() also splits archives."""
 
     @classmethod
     def name(cls) -> str:
@@ -251,7 +279,7 @@ class ArchiveSource(DataSource):
         paths = self.options["path"].split("\n")
         for p in paths:
             open_archive(p)
-        return _Reader(paths, int(self.options.get("splitbytes", SPLIT_BYTES)))
+        return _Reader(paths)
 
 
 def open_archive(path: str) -> str:
@@ -266,11 +294,29 @@ def open_archive(path: str) -> str:
     return path
 
 
-def scan(spark: SparkSession, paths: Iterable[str], split: int = SPLIT_BYTES) -> DataFrame:
-    """Every record of the archives, with `failure` for the first rule it breaks."""
-    spark.dataSource.register(ArchiveSource)
-    df = spark.read.format("recordlog").option("path", "\n".join(paths)).option("splitbytes", str(split)).load()
-    return integrity.checked(df)
+def scan(spark: SparkSession, paths: Iterable[str], split: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+    """Every record of the archives, with `failure` for the first rule it breaks. payloads: False hashes them without handing them on.
+
+    One stage finds the ranges, a task for each archive; the next reads them. Only ranges are shuffled, never records.
+    """
+    paths = [open_archive(p) for p in paths]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                for r in hop(path, split):
+                    yield pa.RecordBatch.from_pylist([vars(r)], pa.schema({"path": pa.string(), "first": pa.int64(), "offset": pa.int64(), "end": pa.int64()}))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from _batches(judged(_Range(**r), payloads))
+
+    cores = spark.sparkContext.defaultParallelism
+    known = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 8 * cores)))
+    parts = sum(os.stat(p).st_size // split + 1 for p in paths)
+    ranges = known.mapInArrow(find, "path string, first long, offset long, end long").repartition(max(1, min(parts, 32 * cores)))
+    return ranges.mapInArrow(read, SCHEMA)
 
 
 def archive_table(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -286,7 +332,7 @@ def verify(spark: SparkSession, paths: list[str]) -> DataFrame:
         except EngineError as e:
             bad.append((p, False, False, 0, 0, 0, os.stat(p).st_size if os.path.exists(p) else 0, e.code, e.message))
     out = spark.createDataFrame(bad, model.REPORT)
-    return integrity.report(scan(spark, good), archive_table(spark, good)).unionByName(out) if good else out
+    return integrity.report(scan(spark, good, payloads=False), archive_table(spark, good)).unionByName(out) if good else out
 
 
 def records(spark: SparkSession, paths: list[str], policy: str = "complete_archive") -> DataFrame:
@@ -367,7 +413,7 @@ def repair(spark: SparkSession, source: str, destination: str, created_ns: int |
     size = os.stat(source).st_size
     checks = scan(spark, [source])
     plan = integrity.repair_plan(checks)
-    report = integrity.report(checks, archive_table(spark, [source])).first()
+    report = integrity.report(scan(spark, [source], payloads=False), archive_table(spark, [source])).first()
     writer = ArchiveWriter(destination, created_ns)
     done = 0
     # An archive is one file, so its records pass through the driver in order, one partition at a time.
