@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -582,3 +583,28 @@ def tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     follow(spark, paths).drop("payload").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(out).withColumn("archive_id", F.regexp_extract("archive_id", r"([^/]*)\.arc$", 1))
     return found.select(*[c.split()[0] for c in schema.split(", ")])
+
+
+@query(f"WITH RECURSIVE {_CHAINED_SQL} SELECT archive_id, sequence, prev_hash, hash FROM chain")
+def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations appended by a stream to open archives, a commit for each record, and read back."""
+    from ..sources import archive
+    from ..streaming.archives import append
+
+    schema = spark.read.parquet(path := f"{sf_dir}/conversations.parquet").schema
+    folder, pattern = path.rsplit("/", 1)
+    c = spark.readStream.schema(schema).parquet(path) if _is_folder(spark, path) else spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    rows = c.select(
+        (F.col("conv_id") % 16).cast("string").alias("archive_id"),
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("event_order"),
+        F.lit(model.SOURCE_BYTES).alias("record_type"),
+        scalars.derive_stream_id(F.col("conv_id").cast("string")).alias("stream_id"),
+        F.col("turn").cast("long").alias("start_ns"),
+        (F.col("turn") + 1).cast("long").alias("end_ns"),
+        F.col("text").cast("binary").alias("payload"),
+    )
+    out = shared_folder(spark)
+    append(rows, out, shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    paths = [f"{out}/{name}" for name in sorted(os.listdir(out)) if name.endswith(".arc")]  # sixteen archives
+    found = archive.records(spark, paths).withColumn("archive_id", F.regexp_extract("archive_id", r"([^/]*)\.arc$", 1))
+    return found.select("archive_id", "sequence", "prev_hash", "hash")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
+import json
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from .. import model
-from ..sources.archive import SCHEMA, SPLIT_BYTES, _Range, hop, open_archive, read_range
+from ..errors import require
+from ..sources.archive import SCHEMA, SPLIT_BYTES, _Range, encode_envelope, encode_header, encode_trailer, hop, open_archive, read_range
 
 
 START = {"offset": model.HEADER_SIZE, "position": 0, "hash": "0" * 64}
@@ -109,3 +114,112 @@ CHAINED = "archive_id string, sequence long, event_order long, prev_hash string,
 def chain(records: DataFrame) -> DataFrame:
     """records: a stream of (archive_id, event_order, digest). Appends each record to its archive's chain; needs the RocksDB state store."""
     return records.groupBy("archive_id").transformWithStateInPandas(statefulProcessor=_Chain(), outputStructType=CHAINED, outputMode="Append", timeMode="None")
+
+
+# Sink
+
+
+class Appender:
+    """An archive that one batch of a stream is appended to, each record with a commit of its own.
+
+    A file beside the archive names the batch and where it began. A batch that runs again (after a loss, or twice at once: the
+    archive is locked) walks over the records it finds there, which must be its own, cuts off an incomplete last one and goes
+    on. The folder's file system must honour locks and renames.
+    """
+
+    def __init__(self, path: str, batch: int):
+        self.fd = os.open(path, os.O_RDWR | os.O_CREAT | os.O_NOFOLLOW, 0o644)
+        fcntl.flock(self.fd, fcntl.LOCK_EX)
+        self.path, note = path, f"{path}.batch"
+        size = os.fstat(self.fd).st_size
+        if os.path.exists(note):
+            with open(note) as f:
+                known = json.load(f)
+        else:
+            header = encode_header(0, hashlib.sha256(path.encode()).digest()[:16])
+            require(size <= len(header) and header.startswith(os.pread(self.fd, len(header), 0)), "archive_io", f"refusing to append to {path}, which no stream began")
+            known = {"batch": -1, "at": START}
+            os.pwrite(self.fd, header, 0)
+            os.fsync(self.fd)
+        self.late = known["batch"] > batch
+        self.at = dict(known["at"])
+        if known["batch"] < batch:
+            self.at = _verified(path, self.at)
+            require(self.at["offset"] == os.fstat(self.fd).st_size, "archive_corrupt", f"{path} is damaged after its last whole batch")
+            with open(f"{note}.{uuid.uuid4().hex}", "w") as f:
+                json.dump({"batch": batch, "at": self.at}, f)
+                f.flush()
+                os.fsync(f.fileno())
+            os.rename(f.name, note)
+        self.end = os.fstat(self.fd).st_size
+
+    def append(self, record_type: int, stream: bytes, start_ns: int, end_ns: int, payload: bytes) -> None:
+        require(end_ns >= start_ns, "invalid_argument", "record ends before it starts")
+        envelope = encode_envelope(record_type, 0, len(payload), self.at["position"], stream, start_ns, end_ns, bytes.fromhex(self.at["hash"]))
+        digest = hashlib.sha256(envelope + payload).digest()
+        data, offset = envelope + payload + encode_trailer(digest), self.at["offset"]
+        if offset < self.end:
+            there = os.pread(self.fd, len(data), offset)
+            require(data.startswith(there), "archive_corrupt", f"{self.path} holds other records of this batch")
+            if len(there) < len(data):
+                os.ftruncate(self.fd, offset)
+                self.end = offset
+        if offset >= self.end:
+            view = memoryview(data)
+            while view:
+                written = os.pwrite(self.fd, view, offset + len(data) - len(view))
+                view = view[written:]
+            os.fsync(self.fd)
+        self.at = {"offset": offset + len(data), "position": self.at["position"] + 1, "hash": digest.hex()}
+
+    def close(self) -> None:
+        os.close(self.fd)
+
+
+APPENDED = "archive_id string, records long, file_bytes long"
+
+
+def append_batch(rows: DataFrame, directory: str, batch: int, suffix: str = ".arc") -> DataFrame:
+    """Appends a batch to its archives, in each by event_order (ties by type, stream, times and payload); see append."""
+    rows = rows.select("archive_id", "event_order", "record_type", "stream_id", "start_ns", "end_ns", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, current, done, out = None, None, 0, []
+
+        def close() -> None:
+            nonlocal to
+            if to:
+                out.append((current, done, to.at["offset"]))
+                to.close()
+                to = None
+
+        try:
+            for part in batches:
+                for a, _, kind, stream, start, end, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if to is None or a != current:
+                        close()
+                        require(bool(a) and "/" not in a, "invalid_argument", f"archive id is no file name: {a}")
+                        to, current, done = Appender(f"{directory}/{a}{suffix}", batch), a, 0
+                    if not to.late:
+                        to.append(kind, uuid.UUID(stream).bytes, start, end, payload or b"")
+                        done += 1
+        finally:
+            close()
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["archive_id", "records", "file_bytes"])
+
+    return rows.repartition("archive_id").sortWithinPartitions(*rows.columns).mapInArrow(run, APPENDED)
+
+
+def append(records: DataFrame, directory: str, checkpoint: str, suffix: str = ".arc") -> DataStreamWriter:
+    """A stream of (archive_id, event_order, record_type, stream_id, start_ns, end_ns, payload) appended to one archive for each archive_id.
+
+    Every record is synced before the next, each is there once however often a batch runs, and archives stay open: follow()
+    reads them as they grow. Records that come in a later batch follow those of earlier ones whatever their event_order.
+    directory: a folder that all executors share. Call start() on the result.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        append_batch(rows, directory, batch, suffix).agg({"records": "sum"}).collect()
+
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

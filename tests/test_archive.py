@@ -208,3 +208,45 @@ def test_followed_rows_equal_a_scan_over_ranges_growth_and_damage(spark, tmp_pat
         f.write(b"X")
     second = caught_up()
     assert len(second) == 70 + 55 and second == scanned()
+
+
+def test_appended_batches_are_there_once_and_go_on_after_losses(spark, tmp_path):
+    from strandlog.streaming.archives import append, append_batch
+
+    schema = "archive_id string, event_order long, record_type int, stream_id string, start_ns long, end_ns long, payload binary"
+    text = archive.stream_text(stream(5))
+
+    def batch(a, b):
+        return spark.createDataFrame([(n, i, 2, text, i, i + 1, bytearray(b"%d" % i * 9) if i % 5 else None) for i in range(a, b) for n in "xy"], schema)
+
+    def found():
+        return {(r["archive_id"][-5:], r["sequence"]): (r["start_ns"], r["payload_size"]) for r in archive.records(spark, paths).collect()}
+
+    paths, source = [str(tmp_path / f"{n}.arc") for n in "xy"], str(tmp_path / "in")
+    for k in range(2):
+        batch(20 * k, 20 * k + 20).coalesce(1).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(schema).parquet(source)
+        append(rows, str(tmp_path), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    first = found()
+    assert len(first) == 80 and all(first[n, i][0] == i for n in ("x.arc", "y.arc") for i in range(40))
+    assert all(r["ok"] and not r["finalized"] for r in archive.verify(spark, paths).collect())
+    whole = [open(p, "rb").read() for p in paths]
+    # The last batch again: unchanged, with a torn record, and with several records lost.
+    for lost in (0, 7, 500):
+        os.truncate(paths[0], len(whole[0]) - lost)
+        append_batch(batch(20, 40), str(tmp_path), 1).collect()
+        assert [open(p, "rb").read() for p in paths] == whole
+    # An earlier batch that comes late changes nothing; other rows under the same number are refused.
+    append_batch(batch(0, 20), str(tmp_path), 0).collect()
+    with pytest.raises(Exception, match="holds other records"):
+        append_batch(batch(21, 41), str(tmp_path), 1).collect()
+    assert [open(p, "rb").read() for p in paths] == whole
+    append_batch(batch(40, 45), str(tmp_path), 2).collect()
+    assert len(found()) == 90
+    # What the stream did not begin, or what was damaged since, it does not touch.
+    write(tmp_path / "z.arc", 1, [(0, 1, b"other")])
+    with pytest.raises(Exception, match="no stream began"):
+        append_batch(batch(0, 1).replace({"x": "z"}, subset=["archive_id"]), str(tmp_path), 0).collect()
+    os.truncate(paths[0], os.path.getsize(paths[0]) - 3)
+    with pytest.raises(Exception, match="damaged after"):
+        append_batch(batch(45, 46), str(tmp_path), 3).collect()
