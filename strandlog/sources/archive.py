@@ -425,29 +425,64 @@ def repair(spark: SparkSession, source: str, destination: str, created_ns: int |
     return {"recovered_records": n, "recovered_payload_bytes": done, "discarded_tail_bytes": size - report["valid_prefix_bytes"]}
 
 
+#: Bytes that a long value is cut into for its CRC.
+SEGMENT = 512
+
+
+def _crc_step(c: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+    return _STEP[(c ^ byte) & 0xFF] ^ (c >> np.uint32(8))
+
+
+_STEP = np.array(_CRC, np.uint32)
+
+
+def _past_segment() -> np.ndarray:
+    """For each of a state's four bytes, what a segment of zeros makes of it; states add by xor."""
+    c = (np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]).astype(np.uint32)
+    for _ in range(SEGMENT):
+        c = _crc_step(c, 0)
+    return c
+
+
+def crc32c_many(values: list[bytes]) -> np.ndarray:
+    """The CRC-32C of each value, walked over all values at once.
+
+    The state after a segment is that of the segment alone xor the state before it moved past as many zeros, so all segments
+    are walked at once and then joined: steps grow with the segment's length and the longest value's number of segments.
+    """
+    size = np.array([len(v) for v in values], np.int64)
+    base = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(values), np.uint8)
+    head, full = size % SEGMENT, size // SEGMENT
+    order = np.argsort(-head, kind="stable")
+    ends = np.sort(head)
+    c = np.full(len(size), 0xFFFFFFFF, np.uint32)
+    for k in range(int(head.max(initial=0))):
+        live = order[: len(size) - int(np.searchsorted(ends, k, "right"))]
+        c[live] = _crc_step(c[live], flat[base[live] + k])
+    first = np.cumsum(full) - full
+    starts = np.repeat(base + head, full) + (np.arange(int(full.sum())) - np.repeat(first, full)) * SEGMENT
+    own = np.zeros(len(starts), np.uint32)
+    for k in range(SEGMENT if len(starts) else 0):
+        own = _crc_step(own, flat[starts + k])
+    past = _past_segment() if len(starts) else None
+    for k in range(int(full.max(initial=0))):
+        live = np.flatnonzero(full > k)
+        s = c[live]
+        c[live] = past[0][s & 0xFF] ^ past[1][s >> 8 & 0xFF] ^ past[2][s >> 16 & 0xFF] ^ past[3][s >> 24] ^ own[first[live] + k]
+    return c ^ np.uint32(0xFFFFFFFF)
+
+
 def crc32c_column(df: DataFrame, column: str, name: str = "crc32c") -> DataFrame:
-    """Adds the CRC-32C of a binary column, the table walked in numpy over all rows of a batch at once."""
-    table = np.array(_CRC, np.uint32)
+    """Adds the CRC-32C of a binary column."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(column).cast(pa.binary()).to_pylist()
-            size = np.array([len(v or b"") for v in values], np.int64)
-            order = np.argsort(-size, kind="stable")
-            base = np.concatenate([[0], np.cumsum(size)])[:-1][order] if len(size) else size
-            flat = np.frombuffer(b"".join(v or b"" for v in values), np.uint8)
-            c = np.full(len(values), 0xFFFFFFFF, np.uint32)
-            ends = np.sort(size)
-            for k in range(int(size.max(initial=0))):
-                live = len(size) - int(np.searchsorted(ends, k, "right"))
-                c[:live] = table[(c[:live] ^ flat[base[:live] + k]) & 0xFF] ^ (c[:live] >> np.uint32(8))
-            out = np.empty(len(values), np.int64)
-            out[order] = (c ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+            out = crc32c_many([v or b"" for v in values])
             found = pa.array([None if v is None else int(x) for v, x in zip(values, out, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, name])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + f", {name} long"
     return df.mapInArrow(run, schema)
-
-

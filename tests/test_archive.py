@@ -28,6 +28,15 @@ def test_crc32c_known_value():
     assert archive.crc32c(b"123456789") == 0xE3069283
 
 
+def test_crc32c_of_many_values_at_once():
+    import numpy as np
+
+    data = np.random.default_rng(1).integers(0, 256, 9000, np.uint8).tobytes()
+    values = [data[:n] for n in (0, 1, 511, 512, 513, 1024, 1500, 9000, 5)] + [bytes(2048), b"\xff" * 1023]
+    assert archive.crc32c_many(values).tolist() == [archive.crc32c(v) for v in values]
+    assert archive.crc32c_many([]).tolist() == []
+
+
 def test_round_trip(spark, tmp_path):
     p = tmp_path / "a"
     write(p, 3, [(10, 20, b"first accepted payload\n"), (21, 30, b"second accepted payload")])
