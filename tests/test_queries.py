@@ -69,6 +69,14 @@ def test_watermark_roundtrip_makes_a_clip_of_every_row(spark):
     assert {r["audio_id"] for r in registry.watermark_roundtrip(spark, SF).select("audio_id").collect()} == ids
 
 
+def test_watermark_roundtrip_where_reads_beside_a_mark_pass_by_chance(spark, tmp_path):
+    ids = [0, 35198, 35198, 40923, 42798, 53822, 72780, 87570]
+    spark.createDataFrame([(i,) for i in ids], "vec_id long").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    own = duckdb.connect()
+    own.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert canon(registry.watermark_roundtrip(spark, str(tmp_path)).toPandas()) == canon(own.execute(registry.ORACLE_SQL["watermark_roundtrip"]).df())
+
+
 def test_record_hashes_are_those_that_archives_store(spark):
     stored = {(r["archive_id"], r["sequence"]): r["hash"] for r in registry.tail_stream(spark, SF).collect()}
     assert {(r["archive_id"], r["sequence"]): r["hash"] for r in registry.record_hashes(spark, SF).collect()} == stored

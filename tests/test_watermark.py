@@ -48,6 +48,20 @@ def test_misaligned_start():
     assert [(o["code"], o["start_frame"], round(o["confidence"], 4)) for o in found] == [(0x22D9, 37344, 0.5188), (0x22D9, 75744, 0.5188)]
 
 
+def test_strongest_of_overlapping_reads():
+    samples = np.trunc(1200 * np.sin(2 * np.pi * 498 * np.arange(48000) / 48000)).astype(np.int16)
+    found = detect(embed(Audio(48000, 1, samples), 19986, "W1", LOUD)[0], LOUD)
+    assert [(o["code"], o["start_frame"]) for o in found] == [(19986, 0), (2425, 6432)]
+    assert watermark.strongest(found) == found[:1]
+
+    def read(band, start, wrong, confidence):
+        return {"band": band, "start_frame": start, "end_frame": start + 100, "corrected_preamble_bits": wrong, "confidence": confidence}
+
+    reads = [read("W1", 50, 0, 0.4), read("W1", 100, 0, 0.9), read("W1", 200, 0, 0.9), read("W1", 299, 2, 1.0), read("W1", 300, 0, 0.5), read("W2", 150, 1, 0.3), read("W1", 300, 0, 0.5)]
+    assert [id(o) for o in watermark.strongest(reads)] == [id(reads[k]) for k in (1, 2, 4, 5)]
+    assert watermark.strongest([]) == []
+
+
 def test_rate_without_reuse_and_stereo():
     mono = tone(44100, 1.8)
     both = Audio(44100, 2, np.repeat(mono.samples, 2))
